@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets
+from . import lines, mixing, quality, secrets
 from .common import table
 
 
@@ -25,5 +25,10 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.digest(docs, lines.keep_bitmaps(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup)}
