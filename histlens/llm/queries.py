@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, quality, secrets
+from . import lines, minhash, mixing, quality, secrets
 from .common import table
 
 
@@ -30,5 +30,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(docs, lines.keep_bitmaps(docs))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup)}

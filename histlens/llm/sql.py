@@ -45,6 +45,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM r GROUP BY rid, doc_id
 """
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), c AS (
+  SELECT list_sort(s) AS k, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY 1
+), u AS (
+  SELECT rep, unnest(k) AS g FROM c
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * n >= 85 * (len(x.k) + len(y.k) - n)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(v, to_v) AS (
+  SELECT rep, rep FROM c UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.to_v
+), m AS (
+  SELECT v, min(to_v) AS comp FROM r GROUP BY v
+)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(comp, s.doc_id) AS component_id, s.doc_id = coalesce(comp, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.s) = c.k LEFT JOIN m ON m.v = c.rep
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4}
+    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4, "op5_minhash_dedup": OP5}
