@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, mixing, quality, secrets
+from . import decontaminate, lines, minhash, mixing, quality, secrets
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup, op7_decontaminate)}

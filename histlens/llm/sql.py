@@ -70,6 +70,29 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(comp, s.doc_id) AS compo
 FROM s LEFT JOIN c ON list_sort(s.s) = c.k LEFT JOIN m ON m.v = c.rep
 """
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, {WORDS} AS w FROM benchmark
+), iw AS (
+  SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda x: array_to_string(w[x:x + least(len(w), 10) - 1], ' '))) AS win FROM i WHERE len(w) > 0
+), lens AS (
+  SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens)
+), m AS (
+  SELECT DISTINCT rid, dw.p, dw.n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n
+), hit AS (
+  SELECT rid, count(DISTINCT p + o)::BIGINT AS n_hit FROM (SELECT rid, p, unnest(range(0, n)) AS o FROM m) GROUP BY rid
+), its AS (
+  SELECT rid, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4, "op5_minhash_dedup": OP5}
+    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4, "op5_minhash_dedup": OP5, "op7_decontaminate": OP7}
