@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, minhash, mixing, quality, secrets
+from . import decontaminate, langid, lines, minhash, mixing, ppm, quality, secrets
 from .common import table
 
 
@@ -43,8 +43,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from folds 0 and 2 of 3; fold 1 is held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.fold() != 1))
-    return langid.identify(docs, model).select("doc_id", (F.coalesce(langid.fold(), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", (F.coalesce(langid.fold(), F.lit(1)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from nine folds of ten; fold 0 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(langid.fold(n=10), F.lit(0))
+    return ppm.score(docs, fold != 0).select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup, op7_decontaminate, op8_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup, op7_decontaminate, op8_language_id, op10_ppm_score)}
