@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, minhash, mixing, ppm, quality, secrets
+from . import chat, decontaminate, langid, lines, minhash, mixing, ppm, quality, secrets, spans
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (F.coalesce(langid.fold(), F.lit(1)) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each rendered turn."""
+    return chat.format_preferences(chat.neighbours_paired(table(spark, sf_dir, "conversations")))
+
+
 def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from nine folds of ten; fold 0 is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -54,4 +63,5 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup, op7_decontaminate, op8_language_id, op10_ppm_score)}
+    ops = (op1_secret_scan, op2_mix_sources, op3_quality_ledger, op4_line_dedup, op5_minhash_dedup, op6_span_dedup, op7_decontaminate, op8_language_id, op9_preference_format, op10_ppm_score)
+    return {f.__name__: f for f in ops}

@@ -93,6 +93,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
+OP9 = r"""
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT pair, turn, list_sort(list({'r': role, 'x': text}) FILTER (side = 'chosen')) AS a, list_sort(list({'r': role, 'x': text}) FILTER (side = 'rejected')) AS b FROM t GROUP BY pair, turn
+), f AS (
+  SELECT pair, min(turn) AS differs FROM k WHERE a IS DISTINCT FROM b GROUP BY pair
+), m AS (
+  SELECT t.*, differs IS NULL OR turn < differs AS agrees FROM t LEFT JOIN f USING (pair)
+)
+SELECT pair, CASE WHEN agrees THEN 'prompt' ELSE side END AS part, turn, coalesce(role, 'unknown') AS role,
+       '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered, NOT agrees AND coalesce(role, 'unknown') = 'assistant' AS loss
+FROM m WHERE NOT agrees OR side = 'chosen'
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4, "op5_minhash_dedup": OP5, "op7_decontaminate": OP7}
+    return {"op3_quality_ledger": OP3, "op4_line_dedup": OP4, "op5_minhash_dedup": OP5, "op7_decontaminate": OP7, "op9_preference_format": OP9}
