@@ -17,7 +17,7 @@ SESSIONS, VARIABLES, EPOCH = 4, 5, "2024-01-01"
 
 
 def project(events: DataFrame, stale: bool = False, all_committed: bool = False) -> Histories:
-    hour = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / 3_600_000_000)
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / 3_600_000_000)
     base = events.select(
         hour.cast("long").alias("h"), (F.col("user_id") % SESSIONS).alias("u"), "ts", "event_id", F.when(F.col("event_type").isin("purchase", "signup"), "W").otherwise("R").alias("op"),
         (F.get_json_object("props", "$.k").cast("long") % VARIABLES).cast("string").alias("variable"),
