@@ -47,7 +47,8 @@ def decode(df: DataFrame, key: str = "h", text: str = "json") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """h (the file), sessions, message, line, column for every .json, .hist and .txt file below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("h"), F.col("value"))
+    # not the text reader: it drops a file's last newline, which the text form needs
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("h"), F.decode("content", "UTF-8").alias("value"))
     none = F.lit(None).cast("int")
     as_json = decode(files.where("h LIKE '%.json'"), "h", "value").select("h", "sessions", "message", none.alias("line"), none.alias("column"))
     as_text = parse_texts(files.where("h LIKE '%.hist' OR h LIKE '%.txt'"), "h", "value")
