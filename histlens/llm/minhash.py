@@ -8,8 +8,10 @@ linked with nothing). Two documents are linked if ``100 * |A & B| >= percent * |
 2. In every band bucket each class is paired with one hub (the least, then the largest doc_id), never all with all.
    Pairs whose bits agree too rarely for the threshold (six standard deviations below it) are left out; the rest is
    confirmed on the whole texts of both.
-3. Components of the links. Buckets that still hold more than one component are then joined with themselves, on pairs of
-   different components whose bits agree often enough; those pairs are confirmed too, so that no link within a bucket is lost.
+3. Components of the links. Documents of buckets that still hold more than one component may have links that no hub showed.
+   Their sets are joined exactly: linked sets share one of their rarest shingles, early enough for the overlap to be
+   reached. Each posting list is first paired with its document of the fewest rarer shingles, then, where components still
+   differ, with itself on those terms. Heavily edited copies have rarest shingles of their own and so make no pairs.
 
 With 24 bands of 4 rows a pair at 0.85 shares no bucket with a probability of 2e-8.
 
@@ -148,6 +150,47 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long").distinct()
 
 
+def rare_prefixes(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """g, rep, at, n: of each document of ``reps(rep)`` those of its first shingles, rarest first, that another one has too.
+
+    Sets that are linked overlap in ``percent`` of each, so they share one of the first ``n - ceil(n * percent / 100) + 1`` shingles in
+    any order common to all. Shingles are counted among ``reps`` only. A shingle of rank ``at`` is followed by n - at - 1 others.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), p.shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "gs"])
+
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(reps, "rep", "left_semi")
+    sets = written(keyed.mapInArrow(rows, "rep long, gs array<long>").dropDuplicates(["rep"]), "sets").select("rep", F.explode("gs").alias("g"))
+    shared = sets.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = sets.join(shared, "g", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("s"))
+    first = ranked.select("rep", F.size("s").alias("n"), F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {p.percent} / 100) as int) + 1)").alias("s"))
+    return first.select("rep", "n", F.posexplode("s").alias("at", "x")).where("x.df > 1").select("x.g", "rep", "at", "n")
+
+
+def _can_link(p: Params) -> str:
+    """SQL: the shingles from the common one on are enough for an overlap at the threshold (it may be the first in common)."""
+    return " AND ".join(f"{100 + p.percent} * ({n} - {at}) >= {p.percent} * (na + nb)" for n, at in (("na", "ia"), ("nb", "ib")))
+
+
+def lightest_pairs(found: DataFrame, p: Params) -> DataFrame:
+    """Pairs of each document with, among those that share a rare shingle, the one that has the fewest rarer ones."""
+    hubs = found.groupBy("g").agg(F.min(F.struct("at", "rep", "n", "comp")).alias("hub"))
+    pairs = found.join(hubs, "g").select("rep", "comp", F.col("at").alias("ia"), F.col("n").alias("na"), F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.at").alias("ib"), F.col("hub.n").alias("nb"))
+    return pairs.where(f"rep <> hub AND comp <> hub_comp AND {_can_link(p)}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def all_pairs(found: DataFrame, p: Params) -> DataFrame:
+    """Pairs of different components that share a rare shingle early enough to be linked."""
+    mixed_lists = found.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g")
+    held = found.join(mixed_lists, "g", "left_semi")
+    one = held.select("g", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("at").alias("ia"), F.col("n").alias("na"))
+    other = held.select("g", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("at").alias("ib"), F.col("n").alias("nb"))
+    return one.join(other, (one["g"] == other["g"]) & F.expr(f"a < b AND ca <> cb AND {_can_link(p)}")).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
     sigs = written(signatures(docs, p), "signatures")
@@ -170,16 +213,18 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = written(confirmed(tried, docs, p), "links")
     comps = components(links)
 
-    placed = crowded.select("band", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = written(placed, "placed")
+    placed = written(crowded.select("band", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     mixed_bands = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    rest = written(placed.join(mixed_bands, "band").join(sig, "rep"), "rest")
-    other = rest.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
-    mine = rest.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    across = mine.join(other, (mine["band"] == other["band"]) & F.expr("a < b AND ca <> cb") & F.expr(f"{matches('sa', 'sb', p)} >= {p.least_matches}")).select("a", "b").distinct()
-    across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        comps = components(links.union(confirmed(across, docs, p)))
+    rest = written(placed.join(mixed_bands, "band").select("rep").distinct(), "rest")
+    if rest.limit(1).count():
+        prefixes = written(rare_prefixes(docs, rest, p), "prefixes")
+        for choose in (lightest_pairs, all_pairs):
+            found = prefixes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            more = written(choose(found, p).join(tried, ["a", "b"], "left_anti"), "more")
+            tried = written(tried.union(more), "tried")
+            if more.limit(1).count():
+                links = written(links.union(confirmed(more, docs, p)), "links")
+                comps = components(links)
 
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left")
     out = out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif(F.coalesce("comp", "rep", "doc_id"), F.lit(NO_ID)).alias("component_id"))
