@@ -35,8 +35,8 @@ def first_difference(turns: DataFrame) -> DataFrame:
 
 def format_preferences(turns: DataFrame) -> DataFrame:
     """pair, part, turn, role, rendered, loss (whether its content is trained on)."""
-    first = first_difference(turns)
-    held = turns.join(first, turns["pair"].eqNullSafe(first["pair"]), "left").drop(first["pair"])
+    first = first_difference(turns).withColumnRenamed("pair", "_pair")
+    held = turns.select("pair", "side", "turn", "role", "text").join(first, F.col("pair").eqNullSafe(F.col("_pair")), "left")
     agrees = F.col("differs").isNull() & (F.coalesce("nulls", F.lit(0)) == 0) | (F.coalesce("nulls", F.lit(0)) == 0) & (F.col("turn").isNull() | (F.col("turn") < F.col("differs")))
     part = F.when(agrees, F.lit("prompt")).otherwise(F.col("side"))
     role = F.coalesce("role", F.lit("unknown"))
