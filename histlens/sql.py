@@ -124,7 +124,7 @@ def _verdict(depth: int) -> str:
 FROM n LEFT JOIN first f ON f.h = n.h LEFT JOIN (SELECT DISTINCT h FROM tr WHERE src = dst) c ON c.h = n.h LEFT JOIN (SELECT DISTINCT h FROM nrr) q ON q.h = n.h {loops}"""
 
 
-def _search(halves: bool, exclusive: bool = False) -> list[str]:
+def _search(halves: bool, exclusive: bool = False, tag: str = "") -> list[str]:
     """Frontier states of every history that passes the causal level: placed counts of four sessions and the last writer of five variables."""
     at = lambda s: "CASE " + s + " " + " ".join(f"WHEN {k} THEN st.p{k}" for k in (1, 2, 3, 4)) + " END"
     last = "CASE rd.v " + " ".join(f"WHEN {k} THEN st.l{k}" for k in range(5)) + " END"
@@ -140,14 +140,21 @@ def _search(halves: bool, exclusive: bool = False) -> list[str]:
     nexts = ", ".join(f"CAST(st.p{k} + (CASE WHEN tx.s = {k} THEN 1 ELSE 0 END) AS BIGINT)" for k in (1, 2, 3, 4))
     lasts = ", ".join(f"CASE WHEN {write} AND list_contains(tx.ws, {k}) THEN tx.txn ELSE st.l{k} END" for k in range(5))
     zeros = ", ".join(["CAST(0 AS BIGINT)"] * 9)
+    shared = [] if tag else _frontier()
+    return [
+        *shared,
+        f"t1{tag} AS MATERIALIZED (SELECT *, half, {per} * k + half AS place FROM t0, (SELECT unnest({[0, 1] if halves else [0]}) AS half))",
+        f"st{tag}(h, p1, p2, p3, p4, l0, l1, l2, l3, l4) AS (SELECT h, {zeros} FROM cok UNION SELECT st.h, {nexts}, {lasts} FROM st{tag} st JOIN t1{tag} tx ON tx.h = st.h AND tx.place = {at('tx.s')} WHERE {ready} AND {move})",
+        f"solved{tag} AS MATERIALIZED (SELECT DISTINCT st.h FROM st{tag} st JOIN (SELECT h, {per} * count(*) AS total FROM t0 GROUP BY h) c ON c.h = st.h AND p1 + p2 + p3 + p4 = total)",
+    ]
+
+
+def _frontier() -> list[str]:
     return [
         "cok AS MATERIALIZED (SELECT h FROM n WHERE n_sessions > 1 AND h NOT IN (SELECT h FROM first) AND h NOT IN (SELECT h FROM tr WHERE src = dst) AND h NOT IN (SELECT h FROM nrr) AND h NOT IN (SELECT h FROM causal WHERE src = dst))",
         f"need AS (SELECT h, dst AS txn, {', '.join(f'max(CASE WHEN src // {_SHIFT} = {k} THEN src % {_SHIFT} + 1 ELSE 0 END) AS n{k}' for k in (1, 2, 3, 4))} FROM causal GROUP BY h, dst)",
         f"t0 AS MATERIALIZED (SELECT x.h, x.txn, x.txn // {_SHIFT} AS s, x.txn % {_SHIFT} AS k, n1, n2, n3, n4, coalesce((SELECT list(CAST(variable AS BIGINT)) FROM wx WHERE wx.h = x.h AND wx.txn = x.txn), []) AS ws FROM x JOIN need USING (h, txn) JOIN cok USING (h))",
-        f"t1 AS MATERIALIZED (SELECT *, half, {per} * k + half AS place FROM t0, (SELECT unnest({[0, 1] if halves else [0]}) AS half))",
         f"rd AS MATERIALIZED (SELECT h, CAST(variable AS BIGINT) AS v, src AS writer, dst AS reader, dst // {_SHIFT} AS s, dst % {_SHIFT} AS k FROM wr)",
-        f"st(h, p1, p2, p3, p4, l0, l1, l2, l3, l4) AS (SELECT h, {zeros} FROM cok UNION SELECT st.h, {nexts}, {lasts} FROM st JOIN t1 tx ON tx.h = st.h AND tx.place = {at('tx.s')} WHERE {ready} AND {move})",
-        f"solved AS MATERIALIZED (SELECT DISTINCT st.h FROM st JOIN (SELECT h, {per} * count(*) AS total FROM t0 GROUP BY h) c ON c.h = st.h AND p1 + p2 + p3 + p4 = total)",
     ]
 
 
@@ -159,6 +166,29 @@ def _searched(level: str) -> str:
 FROM ({_verdict(4)}) c"""
 
 
+def _summary() -> str:
+    """level_summary(): every level's verdict, the strongest passed, the first failed and its error."""
+    names = ("committed-read", "repeatable-read", "atomic-read", "causal", "prefix", "snapshot-isolation", "serializable")
+    col = [x.replace("-", "_") for x in names]
+    up_to = ["f.h IS NULL AND c.h IS NULL", "q.h IS NULL", "a.h IS NULL", "l.h IS NULL"]
+    oks = [up_to[0], f"{up_to[0]} AND {up_to[1]}", f"{up_to[0]} AND {up_to[1]} AND {up_to[2]}", f"{up_to[0]} AND {up_to[1]} AND {up_to[3]}"]
+    oks += [f"{oks[3]} AND (k.h IS NULL OR n.h IN (SELECT h FROM solved{t}))" for t in ("_pc", "_si", "_ser")]
+    flags = ", ".join(f"({o}) AS {x}" for o, x in zip(oks, col, strict=True))
+    last = "CASE " + " ".join(f"WHEN {x} THEN '{y}'" for x, y in reversed(list(zip(col, names, strict=True)))) + " END"
+    first = "CASE " + " ".join(f"WHEN NOT {x} THEN '{y}'" for x, y in zip(col, names, strict=True)) + " END"
+    return f"""SELECT h, {last} AS strongest, {first} AS first_failed,
+  CASE WHEN code IS NOT NULL OR nr THEN 'NonAtomic' WHEN NOT causal OR NOT atomic_read THEN 'Cycle' WHEN NOT prefix OR NOT snapshot_isolation OR NOT serializable THEN 'Invalid' END AS error_kind,
+  CASE WHEN code IS NOT NULL THEN code WHEN nr THEN 'NonRepeatableRead' END AS error_code, {", ".join(col)}
+FROM (SELECT n.h, f.code, committed_order_fine AND q.h IS NOT NULL AS nr, {flags}
+  FROM (SELECT n.h, n.h NOT IN (SELECT h FROM tr WHERE src = dst) AS committed_order_fine FROM n) n LEFT JOIN first f ON f.h = n.h LEFT JOIN (SELECT DISTINCT h FROM tr WHERE src = dst) c ON c.h = n.h
+  LEFT JOIN (SELECT DISTINCT h FROM nrr) q ON q.h = n.h LEFT JOIN (SELECT DISTINCT h FROM tl WHERE src = dst) a ON a.h = n.h
+  LEFT JOIN (SELECT DISTINCT h FROM causal WHERE src = dst) l ON l.h = n.h LEFT JOIN cok k ON k.h = n.h)"""
+
+
+def _all_levels() -> list[str]:
+    return [*_RC, *_atomic(), _closure("tl", "atom"), *_causal(), *_frontier(), *_search(True, False, "_pc"), *_search(True, True, "_si"), *_search(False, False, "_ser")]
+
+
 _RC = [_closure("tr", "rc")]
 _TXT = "t AS (SELECT h, txn, '[' || string_agg(variable || CASE WHEN op = 'W' THEN ':=' ELSE '==' END || coalesce(CAST(version AS VARCHAR), '?'), ' ' ORDER BY pos) || ']' || CASE WHEN committed THEN '' ELSE '!' END AS text FROM e JOIN x USING (h, txn) GROUP BY h, txn, committed)"
 _COMM = f"ac AS (SELECT DISTINCT h, variable, txn // {_SHIFT} AS s FROM e), cg AS MATERIALIZED (SELECT DISTINCT p.h, p.s AS a, q.s AS b FROM ac p JOIN ac q ON p.h = q.h AND p.variable = q.variable AND p.s < q.s)"
@@ -208,6 +238,8 @@ SQL: dict[str, str] = {
     "check_prefix": _with(_searched("prefix"), *_RC, *_causal(), *_search(halves=True), **SOUND),
     "check_si": _with(_searched("snapshot-isolation"), *_RC, *_causal(), *_search(halves=True, exclusive=True), **SOUND),
     "check_ser": _with(_searched("serializable"), *_RC, *_causal(), *_search(halves=False), **SOUND),
+    "level_summary": _with(_summary(), *_all_levels(), **SOUND),
+    "check_observed": _with(_summary(), *_all_levels()),
     "invalid_witnesses": "SELECT CAST(NULL AS BIGINT) AS h, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS VARCHAR) AS level WHERE false",
     "witness_pairs": _with("SELECT * FROM (SELECT h, row_number() OVER k - 1 AS i, txn AS src, lead(txn) OVER k AS dst FROM x WINDOW k AS (PARTITION BY h ORDER BY txn)) WHERE dst IS NOT NULL"),
     "format_txn": _with("SELECT * FROM t", _TXT),
