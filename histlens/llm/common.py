@@ -50,6 +50,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of ``hashes(x)`` modulo ``bits``, as bits / 64 longs: bounded whatever the table's size."""
+    slot = F.pmod("x", F.lit(bits))
+    parts = hashes.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in parts.collect():
+        out[r["k"]] = r["bits"]
+    return out
+
+
+def in_bitmap(h: Column, held: np.ndarray) -> Column:
+    """Whether the bit of hash ``h`` is set: true for all that were put in, and for few others while the bitmap isn't full."""
+    slot = F.pmod(h, F.lit(len(held) * 64))
+    word = F.get(F.lit(held), F.shiftright(slot, 6).cast("int"))
+    return F.getbit(word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() would also change other letters, so it only serves texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

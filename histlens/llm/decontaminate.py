@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, bitmap, in_bitmap, written
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITMAP = 1 << 20
@@ -39,19 +39,11 @@ def _tokenized(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
-    """A bit for each hash of ``terms(term)``: at most BITMAP / 64 longs."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(BITMAP))
-    parts = terms.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    out = np.zeros(BITMAP // 64, np.int64)
-    for r in parts.collect():
-        out[r["k"]] = r["bits"]
-    return out
-
-
-def _in_bitmap(term: Column, bitmap: np.ndarray) -> Column:
-    slot = F.pmod(F.xxhash64(term), F.lit(BITMAP))
-    word = F.get(F.lit(bitmap), F.shiftright(slot, 6).cast("int"))
-    return F.getbit(word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    return bitmap(terms.select(F.xxhash64("term").alias("x")), BITMAP)
+
+
+def _in_bitmap(term: Column, held: np.ndarray) -> Column:
+    return in_bitmap(F.xxhash64(term), held)
 
 
 def item_words(items: DataFrame) -> DataFrame:

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes_of, mixed, runs_hashed, words_of, written
+from .common import bitmap, hashes_of, in_bitmap, mixed, runs_hashed, words_of, written
 from .graph import components
 
 BITS = 2
 ODD_BITS = 0x5555555555555555
 NO_ID = -(1 << 63)
+#: Bits of the filter that keeps the texts of unpaired documents out of shuffles; full, it lets all pass and the join decides.
+FILTER = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -127,11 +129,17 @@ def estimate(a: str, b: str, p: Params = Params()) -> str:
     return f"(({matches(a, b, p)} / {p.slots}D - {chance}) / {1 - chance})"
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, text) of the documents in ``ids(name)``; texts of others are dropped before the shuffle, but for few."""
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(name), "text")
+    held = bitmap(ids.select(F.xxhash64(name).alias("x")), FILTER)
+    return keyed.where(in_bitmap(F.xxhash64(name), held)).join(ids, name, "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Those of ``pairs(a, b)`` that are linked on whole sets. Texts of paired documents only are moved."""
     ids = pairs.select(F.col("a").alias("_i")).union(pairs.select(F.col("b").alias("_i"))).distinct()
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_i"), "text")
-    texts = written(keyed.join(ids, "_i", "left_semi"), "texts")
+    texts = written(texts_of(docs, ids, "_i"), "texts")
     both = pairs.join(texts.select(F.col("_i").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("_i").alias("b"), F.col("text").alias("tb")), "b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +170,7 @@ def rare_prefixes(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             sets = [shingle_set(t.as_py(), p.shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "gs"])
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(reps, "rep", "left_semi")
-    sets = written(keyed.mapInArrow(rows, "rep long, gs array<long>").dropDuplicates(["rep"]), "sets").select("rep", F.explode("gs").alias("g"))
+    sets = written(texts_of(docs, reps, "rep").mapInArrow(rows, "rep long, gs array<long>").dropDuplicates(["rep"]), "sets").select("rep", F.explode("gs").alias("g"))
     shared = sets.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = sets.join(shared, "g", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("s"))
     first = ranked.select("rep", F.size("s").alias("n"), F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {p.percent} / 100) as int) + 1)").alias("s"))

@@ -45,8 +45,8 @@ def incomplete_reads(resolved: DataFrame) -> DataFrame:
 
 
 def inconsistent_local_reads(hs: Histories, resolved: DataFrame) -> DataFrame:
-    """h, txn, pos, w_txn, w_pos: versioned reads that see a write of their own transaction, but not its latest one before them; and
-    reads of somebody else's write after an own one."""
+    """h, txn, pos, w_txn, w_pos: versioned reads that see a write of their own transaction, but not its latest one
+    before them."""
     before = Window.partitionBy("h", "txn", "variable").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     own = hs.events.withColumn("own_pos", F.last(F.when(F.col("op") == "W", F.col("pos")), ignorenulls=True).over(before)).where("op = 'R' AND version IS NOT NULL").select("h", "txn", "pos", "own_pos")
     both = resolved.where("w_txn IS NOT NULL").join(own, ["h", "txn", "pos"])

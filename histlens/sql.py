@@ -5,11 +5,12 @@ from __future__ import annotations
 _SHIFT = 4294967296
 
 
-def _events(stale: bool = False, all_committed: bool = False, lossy: bool = False) -> str:
+def _events(stale: bool = False, all_committed: bool = False, lossy: bool = False, reused: bool = False, turned: bool = False) -> str:
     """CTEs e(h, txn, pos, op, variable, version), x(h, txn, committed), n(h, n_sessions), r (resolved reads), and what is derived from them."""
     version = "CASE WHEN op = 'W' THEN event_id + 1" + (" WHEN event_id % 11 = 0 AND prior > 0 THEN prior" if stale else "") + " ELSE last END"
     ok = "true" if all_committed else f"(h * 31 + (txn // {_SHIFT}) * 7 + txn % {_SHIFT}) % 13 <> 0"
     e = "SELECT h, txn, pos, op, variable, version % 997 AS version FROM e0 WHERE op = 'R' OR (version - 1) % 13 <> 0" if lossy else "SELECT * FROM e0"
+    e = "SELECT h, txn, pos, op, variable, version % 7 AS version FROM e0" if reused else "SELECT h, txn, 1 - pos AS pos, op, variable, version FROM e0" if turned else e
     before = "OVER (PARTITION BY h, variable ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
 ev AS (
@@ -197,10 +198,10 @@ SQL: dict[str, str] = {
     "scan_events": _with("SELECT * FROM e"),
     "scan_transactions": _with("SELECT * FROM x"),
     "resolve_reads": _with("SELECT * FROM r"),
-    "same_version_writes": _with("SELECT * FROM dup WHERE other_txn IS NOT NULL", lossy=True),
+    "same_version_writes": _with("SELECT * FROM dup WHERE other_txn IS NOT NULL", reused=True),
     "final_writes": _with("SELECT * FROM f"),
     "incomplete_reads": _with("SELECT * FROM inc", lossy=True),
-    "inconsistent_local_reads": _with("SELECT * FROM loc", **SOUND),
+    "inconsistent_local_reads": _with("SELECT * FROM loc", turned=True),
     "dirty_reads": _with("SELECT h, txn, pos, w_txn, w_pos FROM ex WHERE final_pos IS NULL"),
     "overwritten_reads": _with("SELECT h, txn, pos, w_txn, w_pos, final_pos FROM ex WHERE final_pos <> w_pos", **SOUND),
     "non_repeatable_reads": _with("SELECT * FROM nrr", **SOUND),
