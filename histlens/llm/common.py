@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it: space and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word is a run of anything else. Java spells \x0B as \u000B inside a class without trouble.
+#: A word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -44,9 +46,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    """At the driver's end, if its JVM still answers."""
+    with contextlib.suppress(Py4JError, OSError, AttributeError):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
