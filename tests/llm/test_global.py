@@ -168,6 +168,43 @@ def test_mix(docs, none):
     assert mixing.mix(docs.where("doc_id IN (40, 41, 42)")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_holds_the_words(docs, none):
+    """The mix itself: shards of numbered slots, each with a block of its source's words; what ``mix`` tells is counted in it."""
+    small = dict(block=8, bucket_docs=7, shard_slots=64)
+    got = mixing.shards(docs, **small).collect()
+    place = Counter((r["shard"], r["slot"]) for r in got)
+    by_shard = Counter(r["shard"] for r in got)
+    assert set(place.values()) == {1} and all({x for k, x in place if k == s} == set(range(n)) for s, n in by_shard.items())
+    assert len(by_shard) > 3 and all(n == 64 for s, n in by_shard.items() if s != max(by_shard))
+    assert len({r["source"] for r in got if r["shard"] == 0}) > 1
+    texts = defaultdict(list)
+    for d in rows():
+        texts[d[0]].append((d[3], " ".join(words(d[1]))))
+    taken = Counter()
+    for r in got:
+        assert r["text"] == " ".join(p["words"] for p in r["parts"]) and 0 < len(r["text"].split(" ")) <= 8
+        for p in r["parts"]:
+            taken[p["doc_id"]] += len(p["words"].split(" "))
+            assert any(s == r["source"] and f" {p['words']} " in f" {t} " for s, t in texts[p["doc_id"]])
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r["source"], r["index"]].add(r["text"])
+    assert all(len(x) == 1 for x in blocks.values())
+    told = Counter()
+    for r in mixing.mix(docs, **small).collect():
+        told[r["doc_id"]] += r["taken"]
+    assert +told == taken
+    assert mixing.shards(none).count() == 0
+
+
+def test_mix_takes_weights(docs):
+    only_b = {r["source"] for r in mixing.shards(docs, share=0.1, block=8, bucket_docs=7, weights={"a": 0, "b": 1, None: 0}).collect()}
+    assert only_b == {"b"}
+    goal = lambda w: {r["source_size"]: r["target"] for r in mixing.mix(docs, share=0.1, weights=w).collect()}
+    one = goal((1, 1, 1))
+    assert len(one) == 3 and len({round(x, 6) for x in one.values()}) == 1
+
+
 def test_targets_and_draws():
     assert mixing.targets([10, 10, 10], [5, 2, 1]) == [20, 50 / 3 + 0, 25 / 3] or sum(mixing.targets([10, 10, 10], [5, 2, 1])) == pytest.approx(45)
     t = mixing.targets([100, 1, 1000], [5, 2, 1])
