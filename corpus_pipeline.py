@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least doc_id."""
-    extra = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_d"))
+    """One document of each group of near-duplicates stays, that of the least doc_id. Linked are sets of 5-word shingles at 0.8 or more."""
+    extra = minhash.near_duplicates(docs, minhash.Params(percent=80)).where("NOT kept").select(F.col("doc_id").alias("_d"))
     return docs.join(extra, docs["doc_id"].eqNullSafe(extra["_d"]), "left_anti")
 
 

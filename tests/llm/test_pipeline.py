@@ -29,6 +29,13 @@ def test_stages(spark, docs, items, tmp_path):
     assert Counter((r["doc_id"], r["size"]) for r in five) == Counter((d, len(t.split())) for d, t in data(four))
 
 
+def test_near_dedup_links_at_80_percent(spark, tmp_path):
+    w = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" if i in (30, 60) else x for i, x in enumerate(w)]  # 86 of 106 shingles in common
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other)), (3, "something else altogether")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_run(spark, docs, items, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
