@@ -58,10 +58,11 @@ def row_of(level: Level, v: Verdict, witness: bool) -> dict:
     }
 
 
-def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: bool = True, budget: int | None = 2_000_000) -> DataFrame:
+def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: bool = True, budget: int | None = None) -> DataFrame:
     """h and RESULT, a row for each history and level (all seven by default).
 
-    ``ok`` is null where the search ran out of ``budget`` nodes: unknown is never reported as a violation. An error may carry a
+    The search goes to its end unless ``budget`` bounds its nodes; ``ok`` is null where it ran out: unknown is never reported as a
+    violation. An error may carry a
     weaker level than the one asked for. ``error_where`` is (transaction, position) of a structural error or an edge on a cycle.
     """
     wanted = [parse_level(x) for x in levels] or list(Level)
@@ -79,16 +80,19 @@ def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: boo
     return rows.mapInPandas(decide, f"h {dict(rows.dtypes)['h']}, {RESULT}")
 
 
-def level_summary(hs: Histories, compat: bool = True) -> DataFrame:
-    """h, strongest (null: none), first_failed, error_kind, error_code: by one pass over each history."""
+def level_summary(hs: Histories, compat: bool = True, budget: int | None = None) -> DataFrame:
+    """h, strongest (null: none), first_failed, error_kind, error_code and a flag a level: by one pass over each history.
+
+    Where ``budget`` nodes were not enough for a level its flag is null: such a level is neither passed nor failed.
+    """
     names, rows = [str(x) for x in Level], packed(hs)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat)
-                failed = next((x for x in Level if not got[x].ok), None)
+                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat, budget)
+                failed = next((x for x in Level if got[x].ok is False), None)
                 passed = [str(x) for x in Level if got[x].ok]
                 bad = got[failed] if failed else Verdict(True)
                 out.append((r.h, passed[-1] if passed else None, None if failed is None else str(failed), bad.kind, bad.code, *(got[x].ok for x in Level)))

@@ -18,8 +18,8 @@ from ..plans.check import to_history
 from ..plans.kernel import check_levels
 
 
-def monitored(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes", compat: bool = True) -> DataFrame:
-    """h, start, strongest, first_failed: a row for each closed history, in append mode."""
+def monitored(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes", compat: bool = True, budget: int | None = None) -> DataFrame:
+    """h, start, strongest, first_failed, unknown (levels for which ``budget`` nodes were not enough): a row for each closed history, in append mode."""
     event = F.struct("txn", "pos", "op", "variable", "version")
     closed = (
         stream.withWatermark("ts", late)
@@ -32,10 +32,11 @@ def monitored(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat)
+                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat, budget)
                 passed = [str(x) for x in Level if got[x].ok]
-                failed = [str(x) for x in Level if not got[x].ok]
-                out.append((r.h, r.start, passed[-1] if passed else None, failed[0] if failed else None))
-            yield pd.DataFrame(out, columns=["h", "start", "strongest", "first_failed"])
+                failed = [str(x) for x in Level if got[x].ok is False]
+                unknown = [str(x) for x in Level if got[x].ok is None]
+                out.append((r.h, r.start, passed[-1] if passed else None, failed[0] if failed else None, unknown))
+            yield pd.DataFrame(out, columns=["h", "start", "strongest", "first_failed", "unknown"])
 
-    return closed.mapInPandas(decide, f"h {dict(closed.dtypes)['h']}, start timestamp, strongest string, first_failed string")
+    return closed.mapInPandas(decide, f"h {dict(closed.dtypes)['h']}, start timestamp, strongest string, first_failed string, unknown array<string>")

@@ -17,3 +17,17 @@ def test_closed_histories_are_checked(spark, tmp_path):
         q.stop()
     got = {r["h"]: (r["strongest"], r["first_failed"]) for r in spark.table("verdicts").collect()}
     assert got == {"a": ("serializable", None), "b": (None, "committed-read")}
+
+
+def test_budget_gives_unknown(spark, tmp_path):
+    rows = [("a", 1 << 32, 0, "W", "x", 1, True, 2, 0), ("a", 2 << 32, 0, "R", "x", 1, True, 2, 10), ("late", 1 << 32, 0, "W", "x", 1, True, 1, 9000)]
+    df = spark.createDataFrame(rows, "h string, txn long, pos long, op string, variable string, version long, committed boolean, n_sessions int, sec int")
+    df.withColumn("ts", F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sec)")).drop("sec").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    q = monitored(stream, budget=0).writeStream.format("memory").queryName("open_verdicts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["h"]: (r["strongest"], r["first_failed"], r["unknown"]) for r in spark.table("open_verdicts").collect()}
+    assert got == {"a": ("causal", None, ["prefix", "snapshot-isolation", "serializable"])}

@@ -172,3 +172,16 @@ def test_empty_tables(spark):
     hs = Histories(spark.createDataFrame([], "h long, txn long, pos long, op string, variable string, version long"), spark.createDataFrame([], "h long, txn long, committed boolean"), spark.createDataFrame([], "h long, n_sessions int"))
     assert checks.check(hs).count() == 0 and validate.first_error(hs).count() == 0
     assert all(saturation.check(hs, x).count() == 0 for x in saturation.PLANS)
+
+
+def test_unknown_is_no_violation(spark):
+    """Two sessions over the same variables: a search is needed, and with no nodes for it the strong levels stay open."""
+    text = "[x:=1] [y:=2] / [x==1 y:=3] [x:=4]"
+    hs = dsl.read_histories(spark.createDataFrame([("both", text_of(text))], "h string, text string"))
+    open_ = checks.level_summary(hs, budget=0).first()
+    assert (open_["strongest"], open_["first_failed"], open_["error_kind"]) == ("causal", None, None)
+    assert [open_[x] for x in ("prefix", "snapshot_isolation", "serializable")] == [None] * 3
+    settled = checks.level_summary(hs).first()
+    assert (settled["strongest"], settled["first_failed"]) == ("serializable", None)
+    for f in (checks.check, checks.level_summary, check_levels):
+        assert __import__("inspect").signature(f).parameters["budget"].default is None
