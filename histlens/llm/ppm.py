@@ -6,6 +6,10 @@ n / (N + d) and the escape d / (N + d) (method C); symbols that a longer context
 left is uniform. So the trie has at most 257^3 counts whatever the corpus: that bounds what comes to the driver and goes out
 again. Counts cover all training text.
 
+``score(order=...)`` adds longer contexts. Their counts grow with the corpus, so they stay distributed like the token counts: a batch
+asks for its distinct contexts and gets back what followed each in the training text. A gram that was seen has n / (N + d);
+for contexts of which some gram wasn't, the whole distribution over all orders is worked out.
+
 The token model beside it (unigrams with 0.1 added) has no such bound: its counts stay distributed. Documents are dealt into
 batches of about BATCH_BYTES by a hash; a batch sends its distinct words to the counts and gets back those that are known,
 so a word crosses once for each batch, not for each document.
@@ -21,7 +25,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +38,15 @@ BATCH_BYTES = 8 << 20
 ADDED = 0.1
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' symbols, each text as two edges, its bytes and an edge, and where each text starts."""
+def symbols(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols, each text as ``order`` edges, its bytes and an edge, and where each text starts."""
     parts, starts, at = [], [], 0
-    edge = np.full(2, EDGE, np.int32)
+    edge = np.full(order, EDGE, np.int32)
     for t in texts:
         data = np.frombuffer((t or "").encode().lower(), np.uint8)
         parts += [edge, data, edge[:1]]
         starts.append(at)
-        at += len(data) + 3
+        at += len(data) + order + 1
     return np.concatenate(parts).astype(np.int32), np.array(starts, np.int64)
 
 
@@ -53,6 +59,110 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside[2:]], starts - 2 * np.arange(len(starts))
 
 
+def long_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` with ``order`` previous symbols."""
+    s, starts = symbols(texts, order)
+    code = np.zeros(len(s) - order, np.int64)
+    for i in range(order + 1):
+        code = code * SYMBOLS + s[i : len(s) - order + i]
+    inside = np.ones(len(s), bool)
+    for i in range(order):
+        inside[starts + i] = False
+    return code[inside[order:]], starts - order * np.arange(len(starts))
+
+
+def keys(context: np.ndarray, order: int) -> pa.Array:
+    """Names of contexts among the words, where none begins with a blank: blank, order, code."""
+    out = np.empty((len(context), 10), np.uint8)
+    out[:, 0], out[:, 1] = 32, order
+    out[:, 2:] = context.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return pa.Array.from_buffers(pa.binary(), len(context), [None, pa.py_buffer(np.arange(0, 10 * len(context) + 1, 10, dtype=np.int32)), pa.py_buffer(out)])
+
+
+def summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    at, distinct = pd.factorize(code)
+    return distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
+
+
+def long_counts(docs: DataFrame, order: int) -> DataFrame:
+    """word (the context's key), followers array<struct<sym, n>> for contexts of ORDER + 1 to ``order`` symbols over ``docs(text)``."""
+
+    def counted(held: list[str | None]) -> Iterator[pa.RecordBatch]:
+        code, n = summed(long_grams(held, order)[0])
+        for o in range(order, ORDER, -1):
+            code, n = summed(code % SYMBOLS ** (o + 1), n)
+            yield pa.RecordBatch.from_arrays([keys(code // SYMBOLS, o), pa.array((code % SYMBOLS).astype(np.int32)), pa.array(n)], names=["word", "sym", "n"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(t.as_py())
+                size += len(held[-1] or "")
+                if size >= BATCH_BYTES:
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    found = docs.select("text").mapInArrow(rows, "word binary, sym int, n long").repartition("word").groupBy("word", "sym").agg(F.sum("n").alias("n"))
+    return found.groupBy("word").agg(F.collect_list(F.struct("sym", "n")).alias("followers"))
+
+
+class LongContexts:
+    """The contexts that a batch got back: ``word`` their keys, ``followers`` their lists."""
+
+    def __init__(self, word: pa.Array, followers: pa.Array, order: int, trie: Trie) -> None:
+        self.order, self.trie = order, trie
+        raw = np.frombuffer(b"".join(word.to_pylist()), np.uint8).reshape(-1, 10)
+        context = np.ascontiguousarray(raw[:, 2:]).view(">i8").reshape(-1).astype(np.int64)
+        n_followers = followers.value_lengths().to_numpy(zero_copy_only=False)
+        flat = followers.flatten()
+        of, sym, n = np.repeat(np.arange(len(context)), n_followers), flat.field("sym").to_numpy(), flat.field("n").to_numpy()
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for o in range(ORDER + 1, order + 1):
+            mine = raw[of, 1] == o
+            code = context[of[mine]] * SYMBOLS + sym[mine]
+            by = np.argsort(code)
+            self.level[o] = code[by], n[mine][by].astype(np.float64)
+        code, n = self.level[order]
+        owner, _ = pd.factorize(code // SYMBOLS)
+        total, distinct = np.bincount(owner, n), np.bincount(owner)
+        self.logp = np.log10(n / (total + np.where(distinct < SYMBOLS, distinct, 0))[owner]) if len(code) else np.zeros(0)
+
+    def counts(self, context: np.ndarray, o: int) -> np.ndarray:
+        """(contexts, SYMBOLS): what followed each of ``context``, of ``o`` symbols, sorted or not."""
+        code, n = self.level[o] if o > ORDER else (self.trie.gram, self.trie.n)
+        lo, hi = np.searchsorted(code, context * SYMBOLS), np.searchsorted(code, (context + 1) * SYMBOLS)
+        out = np.zeros((len(context), SYMBOLS))
+        row = np.repeat(np.arange(len(context)), hi - lo)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        out[row, code[at] % SYMBOLS] = n[at]
+        return out
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """log10 probability of each text, its end included."""
+        code, starts = long_grams(texts, self.order)
+        at, distinct = pd.factorize(code)
+        known, logp = self.level[self.order][0], np.empty(len(distinct))
+        place = np.searchsorted(known, distinct)
+        seen = np.zeros(len(distinct), bool)
+        if len(known):
+            place = np.minimum(place, len(known) - 1)
+            seen = known[place] == distinct
+            logp[seen] = self.logp[place[seen]]
+        rest = np.flatnonzero(~seen)
+        of, contexts = pd.factorize(distinct[rest] // SYMBOLS)
+        by = np.argsort(of, kind="stable")
+        for a in range(0, len(contexts), 1024):
+            some = contexts[a : a + 1024]
+            lo, hi = np.searchsorted(of[by], [a, a + len(some)])
+            levels = [self.counts(some % SYMBOLS**o, o) for o in range(self.order, ORDER - 1, -1)]
+            p = np.log10(distribution([*levels, self.trie.n1[some % SYMBOLS], self.trie.n0]))
+            logp[rest[by[lo:hi]]] = p[of[by[lo:hi]] - a, distinct[rest[by[lo:hi]]] % SYMBOLS]
+        return np.add.reduceat(logp[at], starts, dtype=np.float64) if len(starts) else np.zeros(0)
+
+
 def context_counts(docs: DataFrame) -> DataFrame:
     """gram, n over ``docs(text)``."""
 
@@ -103,6 +213,8 @@ class Trie:
         n0 = np.bincount(last, n, SYMBOLS)[None]
         n1 = np.bincount(middle * SYMBOLS + last, n, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
         pairs = np.unique(first * SYMBOLS + middle)
+        by = np.argsort(gram)
+        self.gram, self.n, self.n1, self.n0 = gram[by], n[by], n1, n0
         self.row = np.concatenate([np.arange(SYMBOLS)] * SYMBOLS).astype(np.int32)
         self.row[pairs] = SYMBOLS + np.arange(len(pairs))
         self.logp = np.empty((SYMBOLS + len(pairs), SYMBOLS), np.float32)
@@ -147,9 +259,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, training: Column) -> DataFrame:
+def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs(doc_id, text)``; ``training`` picks the
-    rows to learn from."""
+    rows to learn from, ``order`` (up to 6) is the length of the longest context in symbols."""
     spark = docs.sparkSession
     learned = docs.where(training).select("text")
     counts = written(token_counts(learned), "tokens")
@@ -159,6 +271,9 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     below = math.log10(n_all + ADDED * (vocabulary + 1))
     unknown, end = math.log10(ADDED) - below, math.log10(ends + ADDED) - below
     trie = spark.sparkContext.broadcast(fit(learned))
+    counts = counts.withColumn("followers", F.lit(None).cast("array<struct<sym: int, n: long>>"))
+    if order > ORDER:
+        counts = counts.unionByName(written(long_counts(learned, order), "contexts").withColumn("n", F.lit(None).cast("long")))
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BATCH_BYTES))
@@ -168,12 +283,22 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         seen: set[bytes] = set()
         for t in group.column("text"):
             seen.update(words_of(t.as_py()))
-        return pa.table({"b": pa.array(np.full(len(seen), group.column("b")[0].as_py(), np.int64)), "word": pa.array(seen, pa.binary())})
+        found = [pa.array(seen, pa.binary())]
+        if order > ORDER:
+            code = pd.unique(long_grams(group.column("text").to_pylist(), order)[0] // SYMBOLS)
+            for o in range(order, ORDER, -1):
+                code = pd.unique(code % SYMBOLS**o)
+                found.append(keys(code, o))
+        word = pa.chunked_array(found)
+        return pa.table({"b": pa.array(np.full(len(word), group.column("b")[0].as_py(), np.int64)), "word": word})
 
     asked = dealt.groupBy("b").applyInArrow(distinct, "b long, word binary")
-    known = asked.join(counts, "word").select("b", "word", "n")
+    known = asked.join(counts, "word").select("b", "word", "n", "followers")
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        longer = pa.compute.is_null(found.column("n"))
+        asked_back, found = found.filter(longer), found.filter(pa.compute.invert(longer))
+        model = LongContexts(asked_back.column("word"), asked_back.column("followers").combine_chunks(), order, trie.value) if order > ORDER else trie.value
         value = dict(zip(found.column("word").to_pylist(), (np.log10(found.column("n").to_numpy() + ADDED) - below).tolist(), strict=True))
         tokens, hits, base, code = [], [], [], []
         held: list[str | None] = []
@@ -188,10 +313,10 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             held.append(t)
             size += len(t or "")
             if size > 1 << 20:
-                code.append(trie.value.score(held))
+                code.append(model.score(held))
                 held, size = [], 0
         if held:
-            code.append(trie.value.score(held))
+            code.append(model.score(held))
         return pa.table({
             "doc_id": texts.column("doc_id"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()),
             "train_tokens": pa.array([n_all] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()),

@@ -59,7 +59,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from nine folds of ten; fold 0 is held out."""
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(langid.fold(n=10), F.lit(0))
-    return ppm.score(docs, fold != 0).select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return ppm.score(docs, fold != 0, order=4).select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -283,6 +283,38 @@ def test_ppm(docs, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in blank)
 
 
+def test_ppm_of_long_contexts(docs, none):
+    """Order 4 against a plain version; its contexts stay distributed."""
+    data = [d for d in rows() if d[0] != 45]
+    learn = lambda d: d[0] is not None and d[0] % 3 != 0
+    seq = lambda t: (256,) * 4 + (*lower(t).encode(), 256)
+    counts = defaultdict(Counter)
+    for d in filter(learn, data):
+        s = seq(d[1])
+        for j in range(4, len(s)):
+            for o in range(5):
+                counts[s[j - o : j]][s[j]] += 1
+
+    def symbol(s, j):
+        seen, w = set(), 1.0
+        for o in (4, 3, 2, 1, 0):
+            k = {x: m for x, m in counts.get(s[j - o : j], {}).items() if x not in seen}
+            if k:
+                total, n = sum(k.values()), len(k) if 257 - len(seen) - len(k) else 0
+                if s[j] in k:
+                    return math.log10(w * k[s[j]] / (total + n))
+                w *= n / (total + n)
+                seen |= set(k)
+        return math.log10(w / (257 - len(seen)))
+
+    want = sorted((str(d[0]), sum(symbol(seq(d[1]), j) for j in range(4, len(seq(d[1]))))) for d in data)
+    learned = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in ppm.score(docs.where("doc_id IS NULL OR doc_id <> 45"), learned, order=4).collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and all(abs(x - y) < 0.05 for (_, x), (_, y) in zip(got, want, strict=True))
+    blank = ppm.score(docs.where("doc_id = 41"), F.lit(False), order=4).first()
+    assert blank["score"] == pytest.approx(-math.log10(257)) and ppm.score(none, learned, order=4).count() == 0
+
+
 def test_ppm_rows_are_distributions():
     rng = np.random.default_rng(0)
     gram = np.unique(rng.integers(0, 257**3, 500))
