@@ -1,21 +1,24 @@
 """Scoring by prediction by partial matching: a pretrained byte-context trie gives each document its code length.
 
-The trie has the contexts of 0 to ORDER (2) previous symbols over 256 bytes (A-Z lower-cased, UTF-8) and an edge symbol that
+The trie has the contexts of 0 to ``order`` previous symbols over 256 bytes (A-Z lower-cased, UTF-8) and an edge symbol that
 stands before a text and ends it. A node's counts n, with N their sum and d the number of distinct symbols, give a symbol
 n / (N + d) and the escape d / (N + d) (method C); symbols that a longer context offered are excluded below; last, what is
-left is uniform. So the trie has at most 257^3 counts whatever the corpus: that bounds what comes to the driver and goes out
-again. Counts cover all training text.
-
-``score(order=...)`` adds longer contexts. Their counts grow with the corpus, so they stay distributed like the token counts: a batch
-asks for its distinct contexts and gets back what followed each in the training text. A gram that was seen has n / (N + d);
-for contexts of which some gram wasn't, the whole distribution over all orders is worked out.
-
-The token model beside it (unigrams with 0.1 added) has no such bound: its counts stay distributed. Documents are dealt into
-batches of about BATCH_BYTES by a hash; a batch sends its distinct words to the counts and gets back those that are known,
-so a word crosses once for each batch, not for each document.
-
-A null text is empty: it has the end token only. Rows that repeat are scored and counted each. Without training rows every
-symbol has 1/257 and no token is known. Memory follows a batch, or the longest text.
+left is uniform. Counts cover all training text.
+
+1. *Learn.* One pass over the training rows counts words and the grams of ORDER (2) to ``order`` previous symbols; partial counts meet by
+   key and become one written table of a row a word or context, the latter with what followed it packed into bytes.
+2. *Ask.* One pass over all rows cuts each input partition into batches of about BATCH_BYTES and writes the rows with their batch's
+   number, and the batch's distinct words and contexts: each crosses once for a batch, not for a document.
+3. *Score.* What is known of the asked keys goes to the batch's partition; batches are dealt there by number, one each, sorted so
+   that what is known comes first and texts stream. A gram that was seen has n / (N + d); for contexts of which some gram
+   wasn't, the whole distribution over all orders is worked out.
+
+Contexts of up to ORDER symbols are a trie of at most 257^3 counts whatever the corpus, which comes to the driver and goes
+out again; the longer ones and the words grow with the corpus and stay distributed. Words are told apart by 63 bits of a hash.
+
+A null text is empty: it has the end token only. Rows that repeat are scored and counted each, in the batches of their places.
+Without training rows every symbol has 1/257 and no token is known. An empty table gives an empty result. Columns other than doc_id
+and text are for ``training`` only and don't come out. Memory follows a batch's distinct keys, or the longest text.
 """
 
 from __future__ import annotations
@@ -27,104 +30,166 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import hashes_of, words_of, written
 
 ORDER, EDGE, SYMBOLS = 2, 256, 257
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20
 ADDED = 0.1
+#: Keys: contexts are code * 8 + order, words are negative, and this one counts the training texts.
+TEXTS = 0
+FOLLOWER = np.dtype([("sym", "<u2"), ("n", "<u8")])
 
 
 def symbols(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The texts' symbols, each text as ``order`` edges, its bytes and an edge, and where each text starts."""
     parts, starts, at = [], [], 0
-    edge = np.full(order, EDGE, np.int32)
+    edge = np.full(order, EDGE, np.int16)
     for t in texts:
         data = np.frombuffer((t or "").encode().lower(), np.uint8)
         parts += [edge, data, edge[:1]]
         starts.append(at)
         at += len(data) + order + 1
-    return np.concatenate(parts).astype(np.int32), np.array(starts, np.int64)
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of two previous symbols and the symbol) for every byte and end, and where each text's begin."""
-    s, starts = symbols(texts)
-    code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    inside = np.ones(len(s), bool)
-    inside[starts] = inside[starts + 1] = False
-    return code[inside[2:]], starts - 2 * np.arange(len(starts))
+    return np.concatenate(parts).astype(np.int64), np.array(starts, np.int64)
 
 
-def long_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """``grams`` with ``order`` previous symbols."""
+def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(code of ``order`` previous symbols and the symbol) for every byte and end, and where each text's begin."""
     s, starts = symbols(texts, order)
-    code = np.zeros(len(s) - order, np.int64)
-    for i in range(order + 1):
-        code = code * SYMBOLS + s[i : len(s) - order + i]
+    code = s[: len(s) - order].copy()
+    for i in range(1, order + 1):
+        code *= SYMBOLS
+        code += s[i : len(s) - order + i]
     inside = np.ones(len(s), bool)
     for i in range(order):
         inside[starts + i] = False
     return code[inside[order:]], starts - order * np.arange(len(starts))
 
 
-def keys(context: np.ndarray, order: int) -> pa.Array:
-    """Names of contexts among the words, where none begins with a blank: blank, order, code."""
-    out = np.empty((len(context), 10), np.uint8)
-    out[:, 0], out[:, 1] = 32, order
-    out[:, 2:] = context.astype(">i8").view(np.uint8).reshape(-1, 8)
-    return pa.Array.from_buffers(pa.binary(), len(context), [None, pa.py_buffer(np.arange(0, 10 * len(context) + 1, 10, dtype=np.int32)), pa.py_buffer(out)])
-
-
 def summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     at, distinct = pd.factorize(code)
     return distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
 
 
-def long_counts(docs: DataFrame, order: int) -> DataFrame:
-    """word (the context's key), followers array<struct<sym, n>> for contexts of ORDER + 1 to ``order`` symbols over ``docs(text)``."""
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return (hashes_of(words) >> np.uint64(1)).view(np.int64) + np.int64(-(1 << 63))
 
-    def counted(held: list[str | None]) -> Iterator[pa.RecordBatch]:
-        code, n = summed(long_grams(held, order)[0])
-        for o in range(order, ORDER, -1):
-            code, n = summed(code % SYMBOLS ** (o + 1), n)
-            yield pa.RecordBatch.from_arrays([keys(code // SYMBOLS, o), pa.array((code % SYMBOLS).astype(np.int32)), pa.array(n)], names=["word", "sym", "n"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def word_key(word: bytes) -> int:
+    return (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
+
+
+def model_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n, followers (binary, FOLLOWER records by symbol; null for words) over ``docs(text)``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[bytes] = Counter()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held, size, texts = [], 0, 0
+
+        def told(key: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sym.astype(np.int16)), pa.array(n)], names=["key", "sym", "n"])
+
+        def told_words() -> pa.RecordBatch:
+            out = told(word_keys(list(words)), np.zeros(len(words)), np.fromiter(words.values(), np.int64, len(words)))
+            words.clear()
+            return out
+
+        def fold() -> None:
+            found.append(summed(grams(held, order)[0]))
+            held.clear()
+
+        def told_grams() -> Iterator[pa.RecordBatch]:
+            code, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            for o in range(order, ORDER - 1, -1):
+                code, n = summed(code % SYMBOLS ** (o + 1), n)
+                yield told(code // SYMBOLS * 8 + o, code % SYMBOLS, n)
+            found.clear()
+
         for batch in batches:
             for t in batch.column(0):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size >= BATCH_BYTES:
-                    yield from counted(held)
-                    held, size = [], 0
+                t = t.as_py()
+                words.update(words_of(t))
+                held.append(t)
+                size += len(t or "")
+                texts += 1
+                if size >= CHUNK_BYTES:
+                    fold()
+                    size = 0
+                    if sum(len(x) for x, _ in found) > 6_000_000:
+                        yield from told_grams()
+                if len(words) > 400_000:
+                    yield told_words()
         if held:
-            yield from counted(held)
+            fold()
+        if texts:
+            yield from told_grams()
+            yield told_words()
+            yield told(np.array([TEXTS]), np.zeros(1), np.array([texts]))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (key, sym); the last key of a batch waits for the next one."""
+        rest: list[np.ndarray] | None = None
+
+        def told(key: np.ndarray, sym: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (sym[1:] != sym[:-1])
+            at = np.flatnonzero(new)
+            key, sym, n = key[at], sym[at], np.add.reduceat(n, at)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            is_context = key[first] > TEXTS
+            packed = np.empty(len(key), FOLLOWER)
+            packed["sym"], packed["n"] = sym, n
+            size = np.diff(np.append(first, len(key))) * is_context
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * FOLLOWER.itemsize
+            data = packed[np.repeat(is_context, np.diff(np.append(first, len(key))))]
+            valid = pa.py_buffer(np.packbits(is_context, bitorder="little").tobytes())
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [valid, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.add.reduceat(n, first)), blobs], names=["key", "n", "followers"])
 
-    found = docs.select("text").mapInArrow(rows, "word binary, sym int, n long").repartition("word").groupBy("word", "sym").agg(F.sum("n").alias("n"))
-    return found.groupBy("word").agg(F.collect_list(F.struct("sym", "n")).alias("followers"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield told(*(c[:cut] for c in cols))
+            rest = [c[cut:] for c in cols]
+        if rest is not None:
+            yield told(*rest)
+
+    found = docs.select("text").mapInArrow(partial, "key long, sym short, n long")
+    return found.repartition("key").sortWithinPartitions("key", "sym").mapInArrow(merged, "key long, n long, followers binary")
+
+
+def unpacked(key: np.ndarray, followers: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram code, count) of contexts and what followed them."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0)
+    offsets = np.frombuffer(followers.buffers()[1], np.int32)[followers.offset : followers.offset + len(followers) + 1]
+    each = np.frombuffer(followers.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(FOLLOWER)
+    of = np.repeat(key // 8, np.diff(offsets) // FOLLOWER.itemsize)
+    return of * SYMBOLS + each["sym"], each["n"].astype(np.float64)
 
 
 class LongContexts:
-    """The contexts that a batch got back: ``word`` their keys, ``followers`` their lists."""
+    """The contexts that a batch got back: ``key`` and what followed each."""
 
-    def __init__(self, word: pa.Array, followers: pa.Array, order: int, trie: Trie) -> None:
+    def __init__(self, key: np.ndarray, followers: pa.BinaryArray, order: int, trie: Trie) -> None:
         self.order, self.trie = order, trie
-        raw = np.frombuffer(b"".join(word.to_pylist()), np.uint8).reshape(-1, 10)
-        context = np.ascontiguousarray(raw[:, 2:]).view(">i8").reshape(-1).astype(np.int64)
-        n_followers = followers.value_lengths().to_numpy(zero_copy_only=False)
-        flat = followers.flatten()
-        of, sym, n = np.repeat(np.arange(len(context)), n_followers), flat.field("sym").to_numpy(), flat.field("n").to_numpy()
+        code, n = unpacked(key, followers)
+        of = np.repeat(key % 8, np.diff(np.frombuffer(followers.buffers()[1], np.int32)[followers.offset : followers.offset + len(followers) + 1]) // FOLLOWER.itemsize) if len(key) else key
         self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for o in range(ORDER + 1, order + 1):
-            mine = raw[of, 1] == o
-            code = context[of[mine]] * SYMBOLS + sym[mine]
-            by = np.argsort(code)
-            self.level[o] = code[by], n[mine][by].astype(np.float64)
+            mine = of == o
+            by = np.argsort(code[mine])
+            self.level[o] = code[mine][by], n[mine][by]
         code, n = self.level[order]
         owner, _ = pd.factorize(code // SYMBOLS)
         total, distinct = np.bincount(owner, n), np.bincount(owner)
@@ -142,7 +207,7 @@ class LongContexts:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text, its end included."""
-        code, starts = long_grams(texts, self.order)
+        code, starts = grams(texts, self.order)
         at, distinct = pd.factorize(code)
         known, logp = self.level[self.order][0], np.empty(len(distinct))
         place = np.searchsorted(known, distinct)
@@ -163,30 +228,6 @@ class LongContexts:
         return np.add.reduceat(logp[at], starts, dtype=np.float64) if len(starts) else np.zeros(0)
 
 
-def context_counts(docs: DataFrame) -> DataFrame:
-    """gram, n over ``docs(text)``."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def counted() -> pa.RecordBatch:
-            n = np.bincount(grams(held)[0], minlength=1)
-            at = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["gram", "n"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size >= BATCH_BYTES:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    return docs.select("text").mapInArrow(rows, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def distribution(levels: list[np.ndarray]) -> np.ndarray:
     """Probabilities (rows, SYMBOLS) from the counts of a context and its suffixes, longest first; each (rows or 1, SYMBOLS)."""
     rows = levels[0].shape[0]
@@ -236,91 +277,161 @@ class Trie:
         return np.add.reduceat(each, starts, dtype=np.float64) if len(starts) else np.zeros(0)
 
 
-def fit(docs: DataFrame) -> Trie:
-    found = context_counts(docs).toPandas()
-    return Trie(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64))
+def fit(counts: DataFrame) -> Trie:
+    """The trie of contexts of ORDER symbols, at most 257^2 rows of ``model_counts``."""
+    found = counts.where(f"key > {TEXTS} AND key % 8 = {ORDER}").select("key", "followers").toArrow().combine_chunks()
+    if not found.num_rows:
+        return Trie(np.zeros(0, np.int64), np.zeros(0))
+    return Trie(*unpacked(found.column("key").chunk(0).to_numpy(), found.column("followers").chunk(0).cast(pa.binary())))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), n over ``docs(text)``."""
+def batched(docs: DataFrame, order: int) -> DataFrame:
+    """part, chunk (the batch), key, is_doc, doc_id, text: the rows of ``docs(doc_id, text)``, and each batch's distinct words and contexts."""
+    id_type = dict(docs.dtypes)["doc_id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        part, chunk, size = TaskContext.get().partitionId(), 0, 0
+        words: set[bytes] = set()
+        contexts: list[np.ndarray] = []
+        held: list[str | None] = []
+        held_size = 0
+
+        def told(key: pa.Array, ids: pa.Array, texts: pa.Array, is_doc: bool) -> pa.RecordBatch:
+            n = len(key)
+            same = lambda x, kind: pa.array(np.full(n, x, kind))
+            return pa.RecordBatch.from_arrays([same(part, np.int64), same(chunk, np.int64), key, same(is_doc, bool), ids, texts], names=["part", "chunk", "key", "is_doc", "doc_id", "text"])
+
+        def fold() -> None:
+            if held and order > ORDER:
+                contexts.append(pd.unique(grams(held, order)[0] // SYMBOLS))
+            held.clear()
+
+        def asked(id_kind: pa.DataType) -> pa.RecordBatch:
+            fold()
+            keys = [word_keys(list(words))]
+            code = np.concatenate(contexts) if contexts else np.zeros(0, np.int64)
+            for o in range(order, ORDER, -1):
+                code = pd.unique(code % SYMBOLS**o)
+                keys.append(code * 8 + o)
+            words.clear()
+            contexts.clear()
+            key = np.concatenate(keys)
+            return told(pa.array(key), pa.nulls(len(key), id_kind), pa.nulls(len(key), pa.string()), False)
+
+        kind = None
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(words_of(t.as_py()))
-                if len(seen) > 400_000:
-                    yield told()
-                    seen.clear()
-        if seen:
-            yield told()
+            kind, begin = batch.column(0).type, 0
+            texts = batch.column(1).cast(pa.string())
+            for i, t in enumerate(texts):
+                t = t.as_py()
+                words.update(words_of(t))
+                held.append(t)
+                size += len(t or "")
+                held_size += len(t or "")
+                if held_size >= CHUNK_BYTES:
+                    fold()
+                    held_size = 0
+                if size >= BATCH_BYTES:
+                    yield told(pa.nulls(i + 1 - begin, pa.int64()), batch.column(0)[begin : i + 1], texts[begin : i + 1], True)
+                    yield asked(kind)
+                    begin, size, held_size, chunk = i + 1, 0, 0, chunk + 1
+            if begin < batch.num_rows:
+                yield told(pa.nulls(batch.num_rows - begin, pa.int64()), batch.column(0)[begin:], texts[begin:], True)
+        if kind is not None and (words or held or contexts):
+            yield asked(kind)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"part long, chunk long, key long, is_doc boolean, doc_id {id_type}, text string")
+
+
+class Values(dict):
+    """Words' log10 probabilities, looked up by key at first use; None for unknown ones."""
 
-    return docs.select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def __init__(self, known: dict[int, float]) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> float | None:
+        self[word] = found = self.known.get(word_key(word))
+        return found
 
 
 def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs(doc_id, text)``; ``training`` picks the
-    rows to learn from, ``order`` (up to 6) is the length of the longest context in symbols."""
+    rows to learn from, ``order`` (2 to 6) is the length of the longest context in symbols."""
     spark = docs.sparkSession
-    learned = docs.where(training).select("text")
-    counts = written(token_counts(learned), "tokens")
-    ends = learned.count()
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, vocabulary = int(total["n"] or 0) + ends, int(total["v"]) + (ends > 0)
+    counts = written(model_counts(docs.where(training), order), "model")
+    total = counts.where(f"key <= {TEXTS}").agg(F.sum("n").alias("n"), F.count_if(F.col("key") < TEXTS).alias("v"), F.sum(F.when(F.col("key") == TEXTS, F.col("n"))).alias("ends")).first()
+    # an end a text: the row of TEXTS counts them
+    n_all, ends = int(total["n"] or 0), int(total["ends"] or 0)
+    vocabulary = int(total["v"]) + (ends > 0)
     below = math.log10(n_all + ADDED * (vocabulary + 1))
     unknown, end = math.log10(ADDED) - below, math.log10(ends + ADDED) - below
-    trie = spark.sparkContext.broadcast(fit(learned))
-    counts = counts.withColumn("followers", F.lit(None).cast("array<struct<sym: int, n: long>>"))
-    if order > ORDER:
-        counts = counts.unionByName(written(long_counts(learned, order), "contexts").withColumn("n", F.lit(None).cast("long")))
-
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // BATCH_BYTES))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("b"))
-
-    def distinct(group: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for t in group.column("text"):
-            seen.update(words_of(t.as_py()))
-        found = [pa.array(seen, pa.binary())]
-        if order > ORDER:
-            code = pd.unique(long_grams(group.column("text").to_pylist(), order)[0] // SYMBOLS)
-            for o in range(order, ORDER, -1):
-                code = pd.unique(code % SYMBOLS**o)
-                found.append(keys(code, o))
-        word = pa.chunked_array(found)
-        return pa.table({"b": pa.array(np.full(len(word), group.column("b")[0].as_py(), np.int64)), "word": word})
-
-    asked = dealt.groupBy("b").applyInArrow(distinct, "b long, word binary")
-    known = asked.join(counts, "word").select("b", "word", "n", "followers")
-
-    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        longer = pa.compute.is_null(found.column("n"))
-        asked_back, found = found.filter(longer), found.filter(pa.compute.invert(longer))
-        model = LongContexts(asked_back.column("word"), asked_back.column("followers").combine_chunks(), order, trie.value) if order > ORDER else trie.value
-        value = dict(zip(found.column("word").to_pylist(), (np.log10(found.column("n").to_numpy() + ADDED) - below).tolist(), strict=True))
+    trie = spark.sparkContext.broadcast(fit(counts))
+
+    table = written(batched(docs, order), "batches")
+    size = table.agg(F.max("part").alias("p"), F.max("chunk").alias("c"), F.count_distinct("part", "chunk").alias("n")).first()
+    parts, chunks = int(size["p"] or 0) + 1, int(size["c"] or 0) + 1
+    # a partition a batch; where one input partition has far more batches than the others, numbers are folded
+    n = max(1, min(parts * chunks, 2 * int(size["n"])))
+    place = F.pmod(F.col("chunk") * parts + F.col("part"), F.lit(n)).cast("int")
+    known = table.where("NOT is_doc").select("part", "chunk", "key").join(counts, "key").select("part", "chunk", F.lit(False).alias("is_doc"), "key", "n", "followers", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    texts = table.where("is_doc").select("part", "chunk", "is_doc", "key", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("followers"), "doc_id", "text")
+    dealt = known.unionByName(texts).repartitionById(n, place).sortWithinPartitions("part", "chunk", "is_doc")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got, model, values = None, [], None, None
+
+        def ready() -> tuple:
+            key = np.concatenate([k for k, *_ in got]) if got else np.zeros(0, np.int64)
+            n = np.concatenate([n for _, n, _ in got]) if got else np.zeros(0)
+            blobs = pa.concat_arrays([b for *_, b in got]).cast(pa.binary()) if got else pa.array([], pa.binary())
+            words = key < TEXTS
+            known_words = dict(zip(key[words].tolist(), (np.log10(n[words] + ADDED) - below).tolist(), strict=True))
+            longer = trie.value
+            if order > ORDER:
+                longer = LongContexts(key[~words], blobs.filter(pa.array(~words)), order, trie.value)
+            got.clear()
+            return longer, Values(known_words)
+
+        for batch in batches:
+            batch_of = np.stack([batch.column("part").to_numpy(), batch.column("chunk").to_numpy(), batch.column("is_doc").to_numpy(zero_copy_only=False)])
+            edges = [0, *(np.flatnonzero((batch_of[:, 1:] != batch_of[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                mine = batch_of[0, a], batch_of[1, a]
+                if mine != now:
+                    now, model, values = mine, None, None
+                    got.clear()
+                rows = batch.slice(a, b - a)
+                if not batch_of[2, a]:
+                    got.append((rows.column("key").to_numpy(), rows.column("n").to_numpy(), rows.column("followers")))
+                    continue
+                if model is None:
+                    model, values = ready()
+                yield _scored(rows, model, values)
+
+    def _scored(rows: pa.RecordBatch, model, values: Values) -> pa.RecordBatch:
         tokens, hits, base, code = [], [], [], []
         held: list[str | None] = []
         size = 0
-        for t in texts.column("text"):
+        for t in rows.column("text"):
             t = t.as_py()
             words = words_of(t)
-            got = [x for x in map(value.get, words) if x is not None]
+            got = [x for x in map(values.__getitem__, words) if x is not None]
             tokens.append(len(words) + 1)
             hits.append(len(got) + (ends > 0))
             base.append(math.fsum(got) + (len(words) - len(got)) * unknown + end)
             held.append(t)
             size += len(t or "")
-            if size > 1 << 20:
+            if size > 2 << 20:
                 code.append(model.score(held))
                 held, size = [], 0
         if held:
             code.append(model.score(held))
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()),
-            "train_tokens": pa.array([n_all] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(np.concatenate(code) if code else [], pa.float64()),
-        })
+        return pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array([n_all] * len(tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(code), pa.float64())],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
-    return dealt.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.mapInArrow(scored, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
