@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -24,23 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to clash with no column of ``df``."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session has none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A session without one gets a temporary folder in local mode (tests), and an
+    error on a cluster, whose machines don't see each other's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="histlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends here and a lost executor costs a re-read.
 
     Tables are removed when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/histlens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,7 +77,8 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def in_bitmap(h: Column, held: np.ndarray) -> Column:
     """Whether the bit of hash ``h`` is set: true for all that were put in, and for few others while the bitmap isn't full."""
     slot = F.pmod(h, F.lit(len(held) * 64))
-    word = F.get(F.lit(held), F.shiftright(slot, 6).cast("int"))
+    longs = F.split(F.lit(",".join(map(str, held.tolist()))), ",").cast("array<long>")  # folded to an array; a literal array goes element by element
+    word = F.get(longs, F.shiftright(slot, 6).cast("int"))
     return F.getbit(word, slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
 

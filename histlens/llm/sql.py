@@ -86,11 +86,22 @@ WITH d AS (
   SELECT DISTINCT rid, dw.p, dw.n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n
 ), hit AS (
   SELECT rid, count(DISTINCT p + o)::BIGINT AS n_hit FROM (SELECT rid, p, unnest(range(0, n)) AS o FROM m) GROUP BY rid
+), tc AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word
+), wl AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda x: w[x:x + least(len(w), 10) - 1])) AS win FROM i WHERE len(w) > 0
+), ra AS (
+  SELECT win, min(struct_pack(n := coalesce(n, 0), o := o, word := word)) AS r FROM (SELECT win, unnest(win) AS word, generate_subscripts(win, 1) AS o FROM (SELECT DISTINCT win FROM wl)) LEFT JOIN tc USING (word) GROUP BY win
+), seat AS (
+  SELECT rid, win, p FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) u JOIN ra ON u.word = r.word WHERE r.n > 0
+), near AS (
+  SELECT rid, count(DISTINCT item)::BIGINT AS n_near_items FROM seat JOIN d USING (rid) JOIN wl ON wl.win = seat.win WHERE list_has_all(d.w[greatest(p - 14, 1):p + 14], seat.win) GROUP BY rid
 ), its AS (
   SELECT rid, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m) GROUP BY rid
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)
 """
 
 OP9 = r"""

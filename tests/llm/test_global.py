@@ -1,6 +1,7 @@
 """Operators that compare documents, against plain versions over the same small corpus."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,7 +149,43 @@ def test_overlapping_windows(spark, items):
 def test_proximity(spark, items):
     shuffled = " ".join(reversed(ITEMS[5][1].split()))
     df = spark.createDataFrame([(1, shuffled), (2, "nothing of the kind")], "doc_id long, text string")
-    assert {r["item_id"] for r in decontaminate.proximity_matches(df, items).collect()} == {5}
+    assert {r["item_id"] for r in decontaminate.proximity_matches(df, items).collect()} == {"5"}
+
+
+def test_proximity_against_all_places(spark):
+    """Few words, so that every window is near somewhere: each place of each window's rarest term."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    data, questions = [(i, text(rng.choice([3, 30, 90]))) for i in range(60)], [(f"q{i}", text(rng.choice([2, 10, 14]))) for i in range(12)]
+    n = Counter(w for _, t in data for w in t.split())
+    reach, want = 9 + 5, set()
+    for item, q in questions:
+        w = q.split()
+        size = min(10, len(w))
+        for a in range(len(w) - size + 1):
+            win = w[a : a + size]
+            for d, t in data:
+                dw = t.split()
+                rare = min(win, key=lambda x: (n[x], win.index(x)))
+                for p, x in enumerate(dw):
+                    if x == rare and set(win) <= set(dw[max(0, p - reach) : p + reach + 1]):
+                        want.add((d, item))
+    frame = lambda rows, s: spark.createDataFrame(rows, s)
+    docs, items = frame(data, "doc_id long, text string"), frame(questions, "item_id string, text string")
+    got = {(r["d"], r["item_id"]) for r in decontaminate.proximity_matches(docs, items).collect()}
+    assert got == want and 20 < len(want)
+    told = {r["doc_id"]: (r["n_hit"], r["n_items"], r["n_near_items"]) for r in decontaminate.contamination(docs, items).collect()}
+    near = Counter(d for d, _ in want)
+    for d, t in data:
+        _, hit, ids = hits(t, questions)
+        assert told[d] == (hit, len(ids), near[d])
+    assert sum(h > 0 for h, *_ in told.values()) > 3
+
+
+def test_clean_with_clashing_columns(spark, items):
+    df = spark.createDataFrame([(1, ITEMS[0][1], "x", 1, 2), (2, "fine", "y", 3, 4), (None, None, None, None, None)], "doc_id long, text string, d string, _d long, t long")
+    left = decontaminate.clean(df, items)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {2, None}
 
 
 def test_mix(docs, none):
