@@ -74,9 +74,9 @@ def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, d, t, at (sorted positions) of the distinct ``terms(term)``, as a written table."""
+    """term, d, t, at (sorted positions) of ``terms(term)``, and of the few terms that share a bit with one, as a written table."""
     bits = bitmap(terms.select(F.col("term").alias("x")), BITMAP)
-    each = lists.select("d", "t", F.posexplode("w").alias("at", "term")).where(in_bitmap(F.col("term"), bits)).join(terms, "term", "left_semi")
+    each = lists.select("d", "t", F.posexplode("w").alias("at", "term")).where(in_bitmap(F.col("term"), bits))
     return written(each.groupBy("term", "d", "t").agg(F.sort_array(F.collect_set("at")).alias("at")), "postings")
 
 
