@@ -76,6 +76,31 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts links the documents near either; null ids are one vertex."""
+    rng = random.Random(6)
+    prose = lambda: [f"w{rng.randrange(9000)}" for _ in range(200)]
+    near = lambda w: [*w[:-1], "other"]
+    a, b, c, d = prose(), prose(), prose(), prose()
+    data = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, prose()), (1, a), (5, c), (6, near(c)), (None, d), (None, near(c)), (7, near(d)), (8, [])]
+    data = [(i, " ".join(w)) for i, w in data]
+    want = components(data)
+    for k in (1, 5):
+        got = by_row(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(k)), "doc_id", "component_id", "kept")
+        assert got == Counter((i, want[i], i == want[i]) for i, _ in data) and {want[1], want[2], want[3]} == {1} and want[6] is None and want[7] is None
+
+
+def test_pairs_across_lists_in_blocks(spark, monkeypatch):
+    """With groups of four, lists of dozens of classes still meet wholly."""
+    monkeypatch.setattr(minhash, "GROUP", 4)
+    rng = random.Random(9)
+    rows_ = [(g, c, rng.randrange(3), 12, rng.choice([0, 0, c])) for g in range(3) for c in rng.sample(range(60), 30)]
+    df = spark.createDataFrame(rows_, "g long, cid long, at long, n long, comp long")
+    got = {frozenset((r["a"], r["hub"])) for r in minhash.pairs_across(df, minhash.Params()).collect()}
+    can = lambda x, y: all(185 * (12 - r[2]) >= 85 * 24 for r in (x, y))
+    assert got == {frozenset((x[1], y[1])) for x in rows_ for y in rows_ if x[0] == y[0] and x[4] != y[4] and can(x, y)}
+
+
 def test_estimate(spark):
     rng = np.random.default_rng(1)
     p = minhash.Params(bands=64)
