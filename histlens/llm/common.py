@@ -64,6 +64,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+SALT = 16
+
+
+def met(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has a row a key: a key's rows are dealt over SALT keys by their ``by``."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")
+    return many.withColumn("_salt", salt).join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """A bit for each value of ``hashes(x)`` modulo ``bits``, as bits / 64 longs: bounded whatever the table's size."""
     slot = F.pmod("x", F.lit(bits))

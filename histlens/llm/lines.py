@@ -11,8 +11,10 @@ are found in at least ``min_docs`` documents count.
    aggregate over them: two runs at most for each partition, so that side is broadcast.
 4. Dropped positions become one compressed bitmap of kept lines a document; texts are only rewritten where asked.
 
-A document is a row: rows are told apart by doc_id and a hash of the text, so that rows with equal doc_id and text get equal
-bitmaps and count once. Null or empty text is one empty line. A null doc_id sorts below all. An empty table gives an empty result.
+Documents are counted by doc_id: rows that repeat one count once, whatever their texts, and the lines of all of them stay or go together;
+bitmaps are by doc_id and a hash of the text. Null or empty text is one empty line. A null doc_id sorts below all and is one document.
+An empty table gives an empty result. Other columns pass through ``rewritten``, whatever their names. Memory follows the longest
+text, or a key's lines in ``min_docs`` documents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, written
+from .common import SPACE, ascii_lower, free_name, written
 
 FIELDS = "h1 long, h2 long, doc_id long, t long, pos int"
 
@@ -43,35 +45,23 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def streamed(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """Decides the inner runs of one sorted partition; rows of its first and its last run pass undecided.
+    """Decides the runs of one sorted partition: rows to drop come out as soon as their run has ``min_docs`` documents.
 
-    Between batches only the open run's state is kept: its hash, first document, and while it hasn't reached ``min_docs``
-    documents its rows, which are those of fewer than ``min_docs`` documents.
+    Rows of the partition's first run pass undecided, as read; of its last run those before it had ``min_docs`` documents, or else one row
+    (pos -1) that stands for them. ``docs`` of undecided rows: the documents that a row adds to its run. Between batches the open
+    run's key, first and last document and number of documents are kept, and its rows while it has fewer than ``min_docs``.
     """
-    names = ["h1", "h2", "doc_id", "t", "pos"]
-    carry: list[np.ndarray] | None = None  # undecided rows of the open run
-    open_key, first_doc, first_run, seen_doc = None, None, True, None
-
-    def told(cols: list[np.ndarray], undecided: bool, new_doc: np.ndarray | None = None) -> pa.RecordBatch:
-        new = np.zeros(len(cols[0]), bool) if new_doc is None else new_doc
-        arrays = [pa.array(c) for c in cols] + [pa.array(np.full(len(cols[0]), undecided)), pa.array(new)]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names, "undecided", "new_doc"])
-
-    def docs_new(cols: list[np.ndarray], before) -> np.ndarray:
-        """True at each first row of a document (doc_id and text) within a run's sorted rows."""
-        new = np.ones(len(cols[2]), bool)
-        new[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])
-        if before is not None and len(new):
-            new[0] = (cols[2][0], cols[3][0]) != before
-        return new
-
-    def finished(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        """What is left of a run that has ended; ``last``: with the partition."""
-        if first_run or last:
-            yield told(cols, True, docs_new(cols, None))
-        elif docs_new(cols, None).sum() >= min_docs:
-            drop = cols[2] != first_doc
-            yield told([c[drop] for c in cols], False)
+    key, first_run, first_doc, last_doc, n_docs = None, True, None, None, 0
+    waiting: list[tuple[list[np.ndarray], np.ndarray]] = []
+
+    def told(cols: list[np.ndarray], undecided: bool, docs: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(cols[0])
+        arrays = [*map(pa.array, cols), pa.array(np.full(n, undecided)), pa.array(np.zeros(n, np.int64) if docs is None else docs.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["h1", "h2", "doc_id", "t", "pos", "undecided", "docs"])
+
+    def others(cols: list[np.ndarray]) -> pa.RecordBatch:
+        drop = cols[2] != first_doc
+        return told([c[drop] for c in cols], False)
 
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -80,45 +70,49 @@ def streamed(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Re
             continue
         edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
         bounds = [0, *edge.tolist(), n]
-        # all runs that lie within this batch, at once
-        inner = (bounds[1], bounds[-2]) if len(bounds) > 3 else None
-        for part, (a, b) in enumerate(((bounds[0], bounds[1]), *(() if len(bounds) < 3 else ((bounds[-2], bounds[-1]),)))):
-            if part and inner:
-                c = [x[inner[0] : inner[1]] for x in cols]
-                begin = np.asarray(bounds[1:-2]) - inner[0]
-                size = np.diff(np.append(begin, inner[1] - inner[0]))
-                new = docs_new(c, None)
+        parts = [(0, bounds[1])] if len(bounds) == 2 else [(0, bounds[1]), (bounds[-2], n)]
+        for part, (a, b) in enumerate(parts):
+            if part and len(bounds) > 3:  # all runs that lie within this batch, at once
+                c = [x[bounds[1] : bounds[-2]] for x in cols]
+                begin = np.asarray(bounds[1:-2]) - bounds[1]
+                size = np.diff(np.append(begin, len(c[0])))
+                new = np.append(True, c[2][1:] != c[2][:-1])
                 new[begin] = True
                 hit = np.repeat(np.add.reduceat(new.astype(np.int64), begin) >= min_docs, size) & (c[2] != np.repeat(c[2][begin], size))
                 if hit.any():
                     yield told([x[hit] for x in c], False)
             run = [x[a:b] for x in cols]
-            key = (run[0][0], run[1][0])
-            if key != open_key:
-                if open_key is not None:
-                    if carry is not None:
-                        yield from finished(carry, False)
-                    first_run = False
-                open_key, first_doc, carry, seen_doc = key, run[2][0], None, None
-            if first_run:  # undecided whatever its size: passed on as read
-                yield told(run, True, docs_new(run, seen_doc))
-                seen_doc = (run[2][-1], run[3][-1])
+            if key != (run[0][0], run[1][0]):
+                first_run = key is None
+                key, first_doc, last_doc, n_docs = (run[0][0], run[1][0]), run[2][0], None, 0
+                waiting.clear()
+            new = np.append(last_doc is None or run[2][0] != last_doc, run[2][1:] != run[2][:-1])
+            n_docs, last_doc = n_docs + int(new.sum()), run[2][-1]
+            if first_run:
+                yield told(run, True, new)
                 continue
-            carry = run if carry is None else [np.concatenate(x) for x in zip(carry, run, strict=True)]
-    if carry is not None:
-        yield from finished(carry, True)
+            waiting.append((run, new))
+            if n_docs >= min_docs:
+                for some, _ in waiting:
+                    yield others(some)
+                waiting.clear()
+    if key is not None and not first_run:
+        for some, new in waiting:
+            yield told(some, True, new)
+        if not waiting:
+            yield told([np.array([key[0]]), np.array([key[1]]), np.array([first_doc]), np.array([0]), np.array([-1], np.int32)], True, np.array([n_docs]))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, t, pos of every line to drop."""
-    lines = keyed_lines(docs, min_chars)
+    lines = written(keyed_lines(docs, min_chars), "lines")  # range partitioning reads its input twice
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartitionByRange(n, "h1", "h2", F.col("doc_id").desc()).sortWithinPartitions("h1", "h2", F.col("doc_id").desc(), "t", "pos")
-    out = written(dealt.mapInArrow(lambda b: streamed(b, min_docs), f"{FIELDS}, undecided boolean, new_doc boolean"), "line-runs")
+    out = written(dealt.mapInArrow(lambda b: streamed(b, min_docs), f"{FIELDS}, undecided boolean, docs long"), "line-runs")
     open_ = out.where("undecided")
     # a row for each run at a partition's edge, two a partition at most
-    runs = open_.groupBy("h1", "h2").agg(F.count_if("new_doc").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    late = open_.join(F.broadcast(runs), ["h1", "h2"]).where("doc_id <> keeper")
+    runs = open_.groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    late = open_.where("pos >= 0").join(F.broadcast(runs), ["h1", "h2"]).where("doc_id <> keeper")
     return out.where("NOT undecided").select("doc_id", "t", "pos").unionByName(late.select("doc_id", "t", "pos"))
 
 
@@ -150,9 +144,10 @@ def kept_positions(bitmap: bytes | None, n: int) -> np.ndarray:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str = "keep_bitmap") -> DataFrame:
     """``docs`` and its rows' bitmaps (null: all lines stay). Moves each text once."""
-    maps = bitmaps.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("kept").alias(name))
-    same = (F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == maps["_d"]) & (F.xxhash64(docs["text"]) == maps["_t"])
-    return docs.join(maps, same, "left").drop("_d", "_t")
+    d, t = free_name(docs, "d"), free_name(docs, "t")
+    maps = bitmaps.select(F.col("doc_id").alias(d), F.col("t").alias(t), F.col("kept").alias(name))
+    same = (F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == maps[d]) & (F.xxhash64(docs["text"]) == maps[t])
+    return docs.join(maps, same, "left").drop(d, t)
 
 
 def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -185,6 +180,7 @@ def rewritten(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return text.combine(bitmap, one)
 
-    joined = with_bitmaps(docs, bitmaps, "_keep")
-    text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept_text("text", "_keep"))
+    keep = free_name(docs, "keep")
+    joined = with_bitmaps(docs, bitmaps, keep)
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(kept_text("text", keep))
     return joined.withColumn("text", text).select(*docs.columns)

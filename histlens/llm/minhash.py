@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, hashes_of, in_bitmap, mixed, runs_hashed, words_of, written
+from .common import bitmap, hashes_of, in_bitmap, met, mixed, runs_hashed, words_of, written
 from .graph import components
 
 BITS = 2
@@ -43,7 +43,7 @@ NO_ID = -(1 << 63)
 FILTER = 1 << 22
 #: Counters of the sketch that orders shingles; any contents give an order, so collisions cost time only.
 SKETCH = 1 << 18
-GROUP, SALT = 256, 16
+GROUP = 256
 
 
 @dataclass(frozen=True)
@@ -142,12 +142,6 @@ def estimate(a: str, b: str, p: Params = Params()) -> str:
     return f"(({matches(a, b, p)} / {p.slots}D - {chance}) / {1 - chance})"
 
 
-def met(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few``, a row a key: a key's rows are dealt over SALT keys by their ``by``."""
-    salt = F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")
-    return many.withColumn("_salt", salt).join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [key, "_salt"], how).drop("_salt")
-
-
 def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """cid, text of the classes ``ids(cid)``, as a written table; the texts of others are dropped before the shuffle, but for few."""
     wanted = written(classes.join(ids, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"), "t"), "wanted")
@@ -160,7 +154,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params)
     """Those of ``pairs(a, hub)`` that are linked on whole sets, as (a, b). Texts of paired documents only are moved."""
     texts = texts_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("hub")).distinct())
     groups = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    dealt = met(pairs, groups, "hub", "a").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"))
+    dealt = met(pairs, groups, ["hub"], "a").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"))
     others = dealt.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("other")), "a")
     hubs = groups.join(texts.select(F.col("cid").alias("hub"), "text"), "hub").select(F.col("hub").alias("h"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("text").alias("mine"))
 
@@ -228,7 +222,7 @@ def mixed_lists(found: DataFrame) -> DataFrame:
     """The rows of ``found(g, cid, at, n, comp)`` in posting lists of several components, each with its list's size, least component and
     lightest class."""
     lists = found.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min(F.struct("at", "cid", "n", "comp")).alias("hub")).where("least <> most").drop("most")
-    return met(found, lists, "g", "cid")
+    return met(found, lists, ["g"], "cid")
 
 
 def lightest_pairs(found: DataFrame, p: Params) -> DataFrame:
@@ -251,7 +245,7 @@ def shared_ids(members: DataFrame) -> DataFrame:
     """a, b: classes that hold rows of one doc_id, each with the least of them."""
     held = members.where("cid IS NOT NULL").select("doc_id", "cid").distinct()
     several = held.groupBy("doc_id").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).where("b <> most").drop("most")
-    return met(held, several, "doc_id", "cid").where("cid <> b").select(F.col("cid").alias("a"), "b")
+    return met(held, several, ["doc_id"], "cid").where("cid <> b").select(F.col("cid").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -265,7 +259,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     banded = classes.select("cid", F.explode("band").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("largest")).where("least <> largest")
-    crowded = written(met(banded, buckets, "band", "cid"), "crowded")
+    crowded = written(met(banded, buckets, ["band"], "cid"), "crowded")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """``pairs`` whose low bits agree often enough."""
@@ -282,7 +276,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     placed = written(with_comp(crowded.select("band", "cid")), "placed")
     several = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    rest = written(met(placed, several, "band", "cid").select("cid").distinct(), "rest")
+    rest = written(met(placed, several, ["band"], "cid").select("cid").distinct(), "rest")
     if rest.limit(1).count():
         firsts = written(first_shingles(docs, classes, rest, p), "firsts")
         for choose in (lightest_pairs, pairs_across):

@@ -31,15 +31,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 OP4 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS did, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
-  SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
+  SELECT rid, doc_id, did, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), hot AS (
-  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5
+  SELECT key, max(did) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT did) >= 5
 ), r AS (
-  SELECT rid, k.doc_id, line, pos, keeper IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN hot USING (key)
+  SELECT rid, k.doc_id, line, pos, keeper IS NOT NULL AND k.did <> keeper AS gone FROM k LEFT JOIN hot USING (key)
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY rid, doc_id

@@ -83,12 +83,12 @@ def kept_lines(docs: list[tuple]) -> list[tuple]:
     holders: dict[str, set] = {}
     for d in docs:
         for x in (d[1] or "").split("\n"):
-            holders.setdefault(key(x), set()).add((-1 if d[0] is None else d[0], d[1]))
+            holders.setdefault(key(x), set()).add(-1 if d[0] is None else d[0])
     out = []
     for d in docs:
         lines = (d[1] or "").split("\n")
         me = -1 if d[0] is None else d[0]
-        keep = [x for x in lines if not (len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and max(h[0] for h in holders[key(x)]) != me)]
+        keep = [x for x in lines if not (len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and max(holders[key(x)]) != me)]
         out.append((len(lines), len(lines) - len(keep), "\n".join(keep)))
     return out
 

@@ -41,6 +41,47 @@ def test_lines_over_many_partitions(spark):
     assert got == {i: 0 if i == 399 else 2 for i in range(400)}
 
 
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    """Documents are counted by id; columns may have any names; the largest id may have several rows."""
+    hot = "a line of more than forty characters that all of them share"
+    five = [(7, hot)] * 5 + [(9, hot)]
+    many = [(i, f"{hot}\n{i}") for i in range(4)] + [(9, f"x\n{hot}"), (9, hot), (None, hot), (None, f"y\n{hot}")]
+    for data in (five, many):
+        df = spark.createDataFrame([(*d, 1, "a", b"k", 0.5) for d in data], "doc_id long, text string, d long, _t string, keep binary, _keep double")
+        got = lines.rewritten(df, lines.keep_bitmaps(df))
+        assert got.columns == df.columns and by_row(got, "doc_id", "text") == Counter((i, t) for (i, _), (*_, t) in zip(data, kept_lines(data), strict=True))
+        assert by_row(lines.digest(df, lines.keep_bitmaps(df)), "doc_id", "n_dropped") == Counter((i, n) for (i, _), (_, n, _) in zip(data, kept_lines(data), strict=True))
+    assert [n for _, n, _ in kept_lines(five)] == [0] * 6 and [n for _, n, _ in kept_lines(many)] == [1] * 4 + [0, 0, 1, 1]
+
+
+def test_line_runs_are_streamed():
+    """Sorted rows in batches of every size give the same decisions, and a long run comes out batch by batch."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    keys = [rng.randrange(12) for _ in range(300)]
+    rows_ = sorted((k, 0, -rng.randrange(15), 0, i) for i, k in enumerate(keys))
+    rows_ = [(a, b, -d, t, p) for a, b, d, t, p in rows_]
+    table = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int32() if i == 4 else pa.int64()) for i in range(5)], names=["h1", "h2", "doc_id", "t", "pos"])
+    want = {r for r in rows_ if len({x[2] for x in rows_ if x[0] == r[0]}) >= 5 and r[2] != max(x[2] for x in rows_ if x[0] == r[0])}
+    for cut in (1, 3, 50, 300):
+        for split in (0, 40, 150):  # two partitions
+            out = []
+            for part in (rows_[:split], rows_[split:]):
+                out += [r for b in lines.streamed(iter([table(part[i : i + cut]) for i in range(0, len(part), cut)]), 5) for r in b.to_pylist()]
+            docs_, keeper = Counter(), {}
+            for r in out:
+                if r["undecided"]:
+                    docs_[r["h1"]] += r["docs"]
+                    keeper[r["h1"]] = max(keeper.get(r["h1"], -1), r["doc_id"])
+            got = {(r["h1"], 0, r["doc_id"], 0, r["pos"]) for r in out if not r["undecided"] or r["pos"] >= 0 and docs_[r["h1"]] >= 5 and r["doc_id"] != keeper[r["h1"]]}
+            at = rows_[split][0] if split else None
+            same_doc = split and rows_[split - 1][0] == at and rows_[split - 1][2] == rows_[split][2]
+            assert got == want or same_doc  # a range never parts a document's rows of a key
+    sizes = [b.num_rows for b in lines.streamed(iter([table([(1, 0, 99, 0, 0)]), *(table([(2, 0, 1000 - 10 * k - i, 0, k) for i in range(10)]) for k in range(20)), table([(3, 0, 0, 0, 0)])]), 5)]
+    assert max(sizes) <= 10 and sum(sizes) >= 200
+
+
 def test_bitmaps():
     import zlib as z
 
