@@ -154,41 +154,94 @@ def test_estimate(spark):
     assert abs(est - true) < 0.15
 
 
-def plain_spans(docs, p=spans.Params()):
-    """(doc_id, n_sentences, n_removed, text) by row: everything in memory."""
+def plain_sentences(t):
+    """Ends and words of sentences, read character by character."""
+    t, pieces, begin, k = t or "", [], 0, 0
+    blank = " \t\n\x0b\x0c\r"
+    while k < len(t):
+        if t[k] in ".!?":
+            e = k
+            while e < len(t) and t[e] in ".!?":
+                e += 1
+            f = e
+            while f < len(t) and t[f] in blank:
+                f += 1
+            if f > e:
+                pieces.append((begin, f))
+                begin = f
+            k = max(f, e)
+        elif t[k] in blank:
+            e = k
+            while e < len(t) and t[e] in blank:
+                e += 1
+            if "\n" in t[k:e]:
+                pieces.append((begin, e))
+                begin = e
+            k = e
+        else:
+            k += 1
+    pieces.append((begin, len(t)))
+    out = []
+    for a, b in pieces:
+        w = words(t[a:b])
+        if w:
+            out.append([b, w])
+        elif out:
+            out[-1][0] = b
+    return [e for e, _ in out], [w for _, w in out]
+
+
+def plain_spans(docs):
+    """(doc_id, n_sentences, n_removed, text) by row: every run of sentences is looked at."""
     key = lambda d: -1 if d is None else d
-    where = defaultdict(set)
-    read = [(d[0], d[1], spans.sentences(d[1])) for d in docs]
-    found = [[(i, n, b" ".join(b" ".join(x) for x in w[i : i + n])) for i, n, _ in spans.spans(w, p)] for _, _, (_, w) in read]
-    for (d, _, _), fs in zip(read, found, strict=True):
-        for i, _, s in fs:
-            where[s].add((key(d), i))
+    ok = lambda w, i, j: sum(map(len, w[i:j])) >= 20 and (j - i >= 2 or sum(map(len, w[i:j])) >= 50)
+    read = [(d[0], d[1], *plain_sentences(d[1])) for d in docs]
+    found, where = [], defaultdict(set)
+    for d, _, _, w in read:
+        runs = set()
+        for k in range(len(w)):
+            runs |= {min(((k, j) for j in range(k + 1, len(w) + 1) if ok(w, k, j)), default=None), max(((i, k + 1) for i in range(k + 1) if ok(w, i, k + 1)), default=None)} - {None}
+        found.append(sorted((i, j, " ".join(sum(w[i:j], []))) for i, j in runs))
+        for i, _, x in found[-1]:
+            where[x].add((key(d), i))
     out = []
-    for (d, t, (ends, _)), fs in zip(read, found, strict=True):
-        gone, mine = set(), {}
-        for i, n, s in fs:
-            first = min(x for x, _ in where[s])
-            if key(d) != first or s in mine:
-                gone |= set(range(i, i + n))
-            mine.setdefault(s, i)
+    for (d, t, ends, _), fs in zip(read, found, strict=True):
+        gone, mine = set(), set()
+        for i, j, x in fs:
+            if key(d) != min(where[x])[0] or x in mine:
+                gone |= set(range(i, j))
+            mine.add(x)
         keep = "".join(t[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if k not in gone) if ends else t or ""
         out.append((d, len(ends), len(gone), keep))
     return out
 
 
 def test_spans(docs, none):
-    plain = plain_spans(rows())
-    got = by_row(spans.dedup(docs), "doc_id", "n_sentences", "n_removed", "kept_sha256")
+    data = [d for d in rows() if d[0] != 45]  # the plain version looks at all pairs of sentences
+    plain = plain_spans(data)
+    got = by_row(spans.dedup(docs.where("doc_id IS NULL OR doc_id <> 45")), "doc_id", "n_sentences", "n_removed", "kept_sha256")
     assert got == Counter((d, n, g, sha(t)) for d, n, g, t in plain)
     left = {d: t for d, _, _, t in plain}
     assert [i for i in range(28, 36) if "The third one has some more words" in left[i]] == [28] and left[50] == rows()[50][1]
     assert spans.dedup(none).count() == 0
 
 
-def test_spans_within_a_text():
+def test_spans_reach_the_ends_of_a_passage(spark):
+    """Sentences of 30, 30, 3 and 3 words before other text: all four go, and nothing beside them."""
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + ". "
+    passage = line("a", 30) + line("b", 30) + line("c", 3) + line("d", 3)
+    data = [(i, f"own{i} begins. {passage}own{i} ends with more words here {line(f'x{i}', 25)}") for i in range(3)] + [(9, line("long", 20000)), (10, line("long", 20000))]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"h1": F.lit(1), "t": F.lit("x"), "_salt": F.lit(2)})
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in spans.dedup(df).collect()}
+    assert got[0] == (0, data[0][1]) and [got[i][0] for i in (1, 2)] == [4, 4] and all(got[i][1] == data[i][1].replace(passage, "") for i in (1, 2))
+    assert got[9][0] == 0 and got[10] == (1, "")
+
+
+def test_spans_within_a_text(spark):
     text = "One two three four five six seven eight nine ten. Eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. "
-    ends, gone = spans.removed(text + "Something else stands here. " + text, None, spans.Params())
-    assert gone.tolist() == [False, False, False, True, True] and spans.kept_text(text + "Something else stands here. " + text, ends, gone) == text + "Something else stands here. "
+    whole = text + "Something else stands here. " + text
+    r = spans.dedup(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first()
+    assert (r["n_sentences"], r["n_removed"], r["text"]) == (5, 2, text + "Something else stands here. ")
 
 
 def test_decontamination(docs, items, none):
