@@ -1,13 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into segments of ``SEGMENT`` UTF-8 bytes. In each, one gated recurrent layer reads forwards and another
-backwards; a softmax over both states labels every byte, and a document's probabilities are the mean over all its bytes.
-Trained in numpy by backpropagation through time (Adam, cross entropy at every byte) on a bounded sample of labelled rows:
-at most ``SAMPLE_ROWS`` rows by order of a hash, a stretch of ``SAMPLE_CHARS`` characters of each. Prediction reads whole texts.
+One gated recurrent layer reads a text's UTF-8 bytes forwards and another backwards; a softmax over both states labels every
+byte, and a document's probabilities are the mean over all its bytes. Texts run in pieces of ``SEGMENT`` bytes side by side, each read with
+``CONTEXT`` bytes of the text before and after it, whose labels its neighbours give: so a byte's label doesn't depend on where a
+piece begins, but for what the network remembers over more than ``CONTEXT`` bytes.
+
+Trained in numpy by backpropagation through time (Adam, cross entropy at every byte) on a bounded sample of labelled rows: at most
+``SAMPLE_ROWS`` rows of every language, by order of a hash, with their whole texts. Prediction reads whole texts.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned from. The
-classes are the languages of the sample, in order of code points. Rows are independent; memory follows the longest text of
-a batch. Labels, sources and ids don't enter a prediction.
+classes are all labels that occur, in order of code points. Rows are independent, so repeated rows get equal results; an empty table gives
+none. Memory follows the longest text of a batch, on the driver the sample. Labels, sources and ids don't enter a prediction. ``accepted``
+passes all columns through, whatever their names; the others ignore further ones.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 600
-SEGMENT, HIDDEN, BATCH, STEPS = 48, 8, 192, 350
+SAMPLE_ROWS = 600
+SEGMENT, CONTEXT, TRAINED, HIDDEN, BATCH, STEPS = 96, 24, 64, 8, 160, 350
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -90,8 +94,9 @@ def probabilities(m: Model, hs: np.ndarray) -> np.ndarray:
     return p.reshape(*hs.shape[:2], -1)
 
 
-def pooled(m: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(B, L) sums over the bytes of ``seq`` (T, B) of each byte's probabilities, and the number of bytes.
+def pooled(m: Model, seq: np.ndarray, context: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(B, L) sums over the bytes of ``seq`` (T, B) of each byte's probabilities, and the number of bytes; the first and last ``context``
+    places are read, but not counted.
 
     The same network as states() and probabilities(), laid out with features before the batch so that all steps run over
     long contiguous rows.
@@ -121,7 +126,7 @@ def pooled(m: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hs[0, t], hs[1, steps - 1 - t] = h[0], h[1]
     total = np.zeros((len(m.bias), batch), np.float32)
     wf, wb = np.ascontiguousarray(m.out[:hid].T), np.ascontiguousarray(m.out[hid:].T)
-    for t in range(steps):
+    for t in range(context, steps - context):
         p = wf @ hs[0, t]
         p += wb @ hs[1, t]
         p += m.bias[:, None]
@@ -131,7 +136,7 @@ def pooled(m: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.divide(seq[t] < 256, scale, out=scale)
         p *= scale
         total += p
-    return total.T, (seq < 256).sum(0)
+    return total.T, (seq[context : steps - context] < 256).sum(0)
 
 
 def backward(m: Model, seq: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -170,19 +175,19 @@ def backward(m: Model, seq: np.ndarray, labels: np.ndarray) -> tuple[float, list
     return loss, [g_x, g_u, g_c, g_out, g_bias]
 
 
-def cut(data: bytes) -> np.ndarray:
-    """(n, SEGMENT) bytes, the last row padded with 256."""
-    n = -(-len(data) // SEGMENT)
-    out = np.full(n * SEGMENT, 256, np.int16)
-    out[: len(data)] = np.frombuffer(data, np.uint8)
-    return out.reshape(n, SEGMENT)
+def cut(data: bytes, size: int, context: int = 0) -> np.ndarray:
+    """(n, size + 2 * context) bytes: pieces of ``size`` bytes and what stands around them, padded with 256."""
+    n = -(-len(data) // size)
+    out = np.full(n * size + 2 * context, 256, np.int16)
+    out[context : context + len(data)] = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(out, size + 2 * context)[::size] if n else np.zeros((0, size + 2 * context), np.int16)
 
 
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 5) -> Model:
     """Every language has an equal share of a batch."""
     names = sorted(set(langs))
     m = fresh(names, seed=seed)
-    pools = [np.concatenate([cut(t.encode()) for t, x in zip(texts, langs, strict=True) if x == name]) for name in names]
+    pools = [np.concatenate([cut(t.encode(), TRAINED) for t, x in zip(texts, langs, strict=True) if x == name]) for name in names]
     rng, share = np.random.default_rng(seed), max(1, BATCH // len(names))
     labels = np.repeat(np.arange(len(names)), share)
     first, second = [np.zeros_like(p) for p in m.params()], [np.zeros_like(p) for p in m.params()]
@@ -199,7 +204,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 5)
     return m
 
 
-def predict(m: Model, texts: list[str | None], width: int = 4096) -> list[tuple[str, float]]:
+def predict(m: Model, texts: list[str | None], width: int = 2048) -> list[tuple[str, float]]:
     """(language, mean probability) of each whole text."""
     out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
     if not m.langs:
@@ -213,7 +218,7 @@ def predict(m: Model, texts: list[str | None], width: int = 4096) -> list[tuple[
         seqs, own = np.concatenate(held), np.concatenate(owner)
         for a in range(0, len(seqs), width):
             seq = np.ascontiguousarray(seqs[a : a + width].T)
-            total, count = pooled(m, seq)
+            total, count = pooled(m, seq, CONTEXT)
             np.add.at(sums, own[a : a + width], total)
             np.add.at(sizes, own[a : a + width], count)
         held.clear()
@@ -221,7 +226,7 @@ def predict(m: Model, texts: list[str | None], width: int = 4096) -> list[tuple[
 
     size = 0
     for i in todo:
-        held.append(cut(texts[i].encode()))
+        held.append(cut(texts[i].encode(), SEGMENT, CONTEXT))
         owner.append(np.full(len(held[-1]), i))
         size += len(held[-1])
         if size >= 4 * width:
@@ -235,18 +240,19 @@ def predict(m: Model, texts: list[str | None], width: int = 4096) -> list[tuple[
     return out
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """From ``docs(doc_id, text, lang)``: the bounded sample goes to the driver, at most ``rows * chars`` characters."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") > 0))
-    h = F.xxhash64("doc_id", "lang")
-    # a limit takes up to ``rows`` from every task: of large tables only about four times as many rows, by hash, take part
-    share = known.count() / (4 * rows)
-    known = known.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) / share)) if share > 1 else known
-    at = F.pmod(h, F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    sample = known.select("lang", F.substring(F.col("text"), at, F.lit(chars)).alias("text"), h.alias("h")).orderBy("h", "lang", "text").limit(rows).collect()
-    if not sample:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """From ``docs(doc_id, text, lang)``: ``rows`` rows of every language at most go to the driver, however common it is."""
+    known = docs.where(F.col("lang").isNotNull() & (F.col("text") != ""))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return fresh([])
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    h = F.xxhash64("doc_id", "lang")
+    # half as many again by hash, so that what is ordered stays small and still holds enough
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * rows / n))))
+    some = known.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 31)) < F.try_element_at(share, F.col("lang")) * (1 << 31))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "text", "h").toPandas().sort_values(["h", "lang", "text"])
+    return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -259,17 +265,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 found = predict(model, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have a language with a mean probability of ``least`` or more."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.35, label: str | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a language with a mean probability of ``least`` or more; the column ``label``, if
+    named, holds that language afterwards."""
+    at, to = docs.columns.index("text"), None if label is None else docs.columns.index(label)
 
-    @F.pandas_udf("boolean")
-    def ok(text):
-        return text.__class__([x != UNDETERMINED and s >= least for x, s in predict(model, [t if isinstance(t, str) else None for t in text])])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                found = predict(model, part.column(at).to_pylist())
+                keep = pa.array([x != UNDETERMINED and s >= least for x, s in found], pa.bool_())
+                names = pa.array([x for x, _ in found], pa.string())
+                columns = [names if i == to else part.column(i) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=batch.schema.names)
 
-    return docs.where(ok("text"))
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def fold(ids: str = "doc_id", n: int = 3):

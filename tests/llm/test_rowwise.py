@@ -116,6 +116,54 @@ def test_gradients():
     assert np.abs(p.sum(0) - langid.pooled(m, seq)[0]).max() < 1e-5
 
 
+def plain_labels(m, text):
+    """(language, mean probability) of one text: each piece by itself, a byte at a time, with the network's definition."""
+    data = [256] * langid.CONTEXT + list(text.encode())
+    data += [256] * (-len(text.encode()) % langid.SEGMENT + langid.CONTEXT)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hid = m.u.shape[1]
+
+    def read(k, seq):
+        h, out = np.zeros(hid), []
+        for b in seq:
+            a, g = m.x[k][b].astype(float), h @ m.u[k].astype(float)
+            z, r = sigmoid(a[:hid] + g[:hid]), sigmoid(a[hid : 2 * hid] + g[hid : 2 * hid])
+            n = np.tanh(a[2 * hid :] + r * (g[2 * hid :] + m.c[k]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    total, count = np.zeros(len(m.langs)), 0
+    for at in range(0, len(data) - 2 * langid.CONTEXT, langid.SEGMENT):
+        seq = data[at : at + langid.SEGMENT + 2 * langid.CONTEXT]
+        forth, back = read(0, seq), read(1, seq[::-1])[::-1]
+        for k in range(langid.CONTEXT, langid.CONTEXT + langid.SEGMENT):
+            if seq[k] < 256:
+                e = np.exp(np.concatenate([forth[k], back[k]]) @ m.out + m.bias)
+                total, count = total + e / e.sum(), count + 1
+    return m.langs[int(total.argmax())], total.max() / count
+
+
+def test_prediction_against_a_plain_network():
+    m = langid.fresh(["a", "b", "c"], 4, seed=3)
+    texts = ["x", "some words é of a text", "ab " * 31 + "c", "longer than many pieces " * 40, "exactly ninety-six bytes " * 3 + "and padding to be so."]
+    got = langid.predict(m, [None, *texts, "12 !"], width=3)
+    assert got[0] == got[-1] == ("und", 0.0)
+    for t, (lang, score) in zip(texts, got[1:-1], strict=True):
+        want = plain_labels(m, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_sample_takes_every_language_and_whole_texts(spark, monkeypatch):
+    """A language in one row of a thousand is learned; rows are bounded by language; what stands after any number of characters counts."""
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    rare = [(5000 + i, "12 " * 5000 + f"end{i}", "rare") for i in range(3)]
+    df = spark.createDataFrame([(i, f"text {i}", "hot") for i in range(3000)] + rare + [(1, None, "none"), (2, "", "none"), (3, "x", None)], "doc_id long, text string, lang string")
+    langid.fit(df, rows=40)
+    assert Counter(seen["langs"]) == {"hot": 40, "rare": 3} and sum("end" in t for t in seen["texts"]) == 3
+
+
 def test_language_id(spark):
     """Held-out accuracy on two invented languages; odd texts."""
     import random
@@ -133,5 +181,7 @@ def test_language_id(spark):
     assert got[203]["lang_pred"] == "ka" and 0 <= got[203]["score"] <= 1
     kept = {r["doc_id"] for r in langid.accepted(df, model).collect()}
     assert kept & {200, 201, 202} == set() and 203 in kept and len(kept) > 140
+    named = {r["doc_id"]: r["lang"] for r in langid.accepted(df, model, label="lang").collect()}
+    assert named == {i: got[i]["lang_pred"] for i in kept} and named[203] == "ka"
     assert langid.fit(df.limit(0)).langs == [] and langid.identify(df, langid.fresh([])).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(df.limit(0), model).count() == 0
