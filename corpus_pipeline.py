@@ -16,8 +16,8 @@ from histlens.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter, or an unsure network) go."""
-    return langid.accepted(docs, langid.fit(docs.where(langid.fold() != 1)))
+    """Documents whose language can't be told (no text, no letter, or an unsure network) go; ``lang`` is what the network says of the others."""
+    return langid.accepted(docs, langid.fit(docs.where(langid.fold() != 1)), label="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
