@@ -1,11 +1,21 @@
 """Secret scans: pattern spans, and spans whose value is expensive to guess in a credential's context.
 
-A value that follows a credential's name (``pwd:``, ``passphrase =``, ``login is`` ...) is scored by dynamic
-programming over its characters: the cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and
-brute-force characters, in log10 guesses. Values at or above ``min_log10_guesses`` become spans of kind ``guess``.
+A value that follows a credential's name (``pwd:``, ``passphrase =``, ``login is`` ...) is scored by dynamic programming over its
+characters: the least log10 guesses of all ways to cut it into
 
-Null and empty texts have no spans. A text is scanned whole, one row at a time, so memory follows the longest text.
-Rows are independent: repeated rows give repeated results, an empty table gives an empty table, other columns are ignored.
+* dictionary words, by rank; capitals and signs for letters cost factors of two,
+* dates and years,
+* repeats: two or more copies of a unit (of three for one character), which costs what the unit costs alone, times their number,
+* keyboard walks of three keys or more, by length and turns,
+* brute-force spans, a character each.
+
+Every segment costs a choice between the five kinds. Values at or above ``min_log10_guesses`` become spans of kind ``guess``.
+
+The dictionary is a list of common passwords and, in ``find_secrets``, the ``TOP`` most frequent words of the documents' own whole
+texts (of three to WORD letters; ties by code point): so it has the languages of the corpus, and its size is bounded whatever theirs.
+
+Null and empty texts have no spans. A text is scanned whole, one row at a time, so memory follows the longest text. Rows are
+independent but for the dictionary: repeated rows give equal results, an empty table gives an empty table, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,11 +23,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+EDGES = ".,;:!?()[]{}<>\"'`*_-"
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 #: Runs are maximal either way, so a minimum length here equals dropping short matches of the open patterns.
@@ -43,11 +57,17 @@ COMMON_WORDS = (
 # Keyboard rows, and letters often written as signs.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@8310!$57", "aabeioisst")
-DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 #: log10 costs: a choice between kinds of segment, a date in two centuries, a year.
 SEGMENT, DAY, YEAR = math.log10(5), math.log10(200 * 365.25), math.log10(200)
-PERIODS = 8  # longest unit of a repeat
+#: Longest word, walk and unit of a repeat: longer ones are cut like anything else. Words taken from the corpus.
+WORD, WALK, UNIT, TOP = 24, 48, 1024, 20_000
+#: Forms of dates and their costs; a separator costs a choice of four.
+DATES = (
+    (re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.ASCII), DAY),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", re.ASCII), DAY),
+    (re.compile(r"(?:19|20)\d\d", re.ASCII), YEAR),
+)
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -71,49 +91,70 @@ def _one(c: str) -> float:
 
 
 def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every segment that isn't brute force; ends ascend within a start."""
+    """(start, end, log10 guesses) of every word, date and walk, from every start to every end."""
     low, n = value.lower() if len(value.lower()) == len(value) else value, len(value)
-    plain, longest = low.translate(LEET), max(map(len, ranks), default=0)
-    dates = {m.start(): m for i in range(n) if value[i].isdigit() and (m := DATE.match(value, i))}
+    plain, two = low.translate(LEET), math.log10(2)
+    near = [i + 1 < n and low[i + 1] in NEAR.get(low[i], ()) for i in range(n)]
     for i in range(n):
-        for j in range(i + 2, min(n, i + longest) + 1):
-            if rank := ranks.get(plain[i:j]):
-                caps, signs = sum(c.isupper() for c in value[i:j]), sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
-                yield i, j, math.log10(rank) + (math.log10(2) if caps in (1, j - i) else caps * math.log10(2)) + signs * math.log10(2)
-        if m := dates.get(i):
-            yield i, m.end(), (YEAR if m.end() - i == 4 else DAY) + (math.log10(4) if m[1] or m[2] else 0)
-        if i + 1 < n and low[i + 1] in NEAR.get(low[i], ()) and not (i and low[i] in NEAR.get(low[i - 1], ())):
-            j, turns, step = i + 1, 0, None
-            while j < n and low[j] in NEAR.get(low[j - 1], ()):
-                way = (AT[low[j]][0] - AT[low[j - 1]][0], AT[low[j]][1] - AT[low[j - 1]][1])
-                turns, step, j = turns + (way != step), way, j + 1
-                if j - i >= 3:
-                    yield i, j, math.log10(47 * (j - i)) + turns * math.log10(4)
-
-
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """The least log10 guesses over all cuts of ``value``; 0 for the empty value. Linear in its length."""
-    ranks = RANKS if ranks is None else ranks
+        caps = signs = 0
+        for j in range(i + 1, min(n, i + WORD) + 1):
+            caps, signs = caps + value[j - 1].isupper(), signs + (low[j - 1] != plain[j - 1])
+            if j - i > 1 and (rank := ranks.get(plain[i:j])):
+                yield i, j, math.log10(rank) + two * (1 if caps in (1, j - i) else caps) + two * signs
+        if value[i].isdigit():
+            for form, cost in DATES:
+                if m := form.match(value, i):
+                    yield i, m.end(), cost + (math.log10(4) if m.lastindex and m[1] else 0)
+        j, turns, step = i, 0, None
+        while j < n - 1 and near[j] and j + 1 - i < WALK:
+            way = (AT[low[j + 1]][0] - AT[low[j]][0], AT[low[j + 1]][1] - AT[low[j]][1])
+            turns, step, j = turns + (way != step), way, j + 1
+            if j - i >= 2:
+                yield i, j + 1, math.log10(47 * (j + 1 - i)) + turns * math.log10(4)
+
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(unit, first, end) of every longest stretch that has the period ``unit`` and holds two copies of it (three of one character)."""
+    n, out = len(value), []
+    code = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    for p in range(1, min(UNIT, n // 2) + 1):
+        same = np.flatnonzero(np.diff(np.concatenate([[0], (code[p:] == code[:-p]).view(np.int8), [0]])))
+        for a, b in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
+            if b - a >= (p if p > 1 else 2):
+                unit = value[a : a + p]
+                if (unit + unit).find(unit, 1) == p:  # a unit that repeats itself costs no less than its own unit
+                    out.append((p, a, b + p))
+    return out
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None, _known: dict[str, float] | None = None) -> float:
+    """The least log10 guesses over all cuts of ``value``; 0 for the empty value."""
+    ranks, known = RANKS if ranks is None else ranks, {} if _known is None else _known
+    if value in known:
+        return known[value]
     n = len(value)
     ends: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in segments(value, ranks):
         ends.setdefault(j, []).append((i, cost))
-    best = [0.0] + [math.inf] * n
-    brute = [True] + [False] * n  # whether the cheapest way to here ends in brute force: then the next one opens no segment
-    run = [0] * (PERIODS + 1)  # characters so far that equal the one a period before
+    runs = repeats(value)
+    copies = np.log10(np.arange(1, n + 1))
+    best = np.full(n + 1, math.inf)  # the cheapest way to here, whatever it ends in
+    best[0], brute = 0.0, math.inf  # the cheapest that ends in a brute-force span, which goes on without a new choice
     for e in range(1, n + 1):
-        best[e] = best[e - 1] + _one(value[e - 1]) + (0 if brute[e - 1] and e > 1 else SEGMENT)
-        brute[e] = True
-        options = list(ends.get(e, ()))
-        for p in range(1, PERIODS + 1):
-            run[p] = run[p] + 1 if e > p and value[e - 1] == value[e - 1 - p] else 0
-            if run[p] >= 2 * p and run[p] % p == 0:  # three copies or more: the first is paid, the others are counted
-                start = e - run[p] - p
-                options.append((start, best[start + p] - best[start] + math.log10(run[p] // p + 1)))
-        for start, cost in options:
-            if (total := best[start] + cost + SEGMENT) < best[e]:
-                best[e], brute[e] = total, False
-    return best[n]
+        brute = min(brute, float(best[e - 1]) + SEGMENT) + _one(value[e - 1])
+        least = brute
+        for start, cost in ends.get(e, ()):
+            least = min(least, float(best[start]) + cost + SEGMENT)
+        for p, first, end in runs:
+            fewest = 2 if p > 1 else 3
+            if first + fewest * p <= e <= end:
+                unit = guess_cost(value[e - p : e], ranks, known)
+                whole = (e - first) // p
+                starts = best[e - fewest * p :: -p][: whole - fewest + 1]
+                least = min(least, float((starts + copies[fewest - 1 : whole]).min()) + unit + SEGMENT)
+        best[e] = least
+    known[value] = float(best[n])
+    return known[value]
 
 
 RANKS: dict[str, int] = {}
@@ -134,12 +175,40 @@ def scan(text: str | None, min_log10_guesses: float = 8.0, ranks: dict[str, int]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def find_secrets(docs: DataFrame, min_log10_guesses: float = 8.0, words: Sequence[str] = COMMON_WORDS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, spans array<struct<start, end, kind, log10_guesses>>."""
+def frequent_words(docs: DataFrame, top: int = TOP) -> list[str]:
+    """The ``top`` most frequent words of ``docs(text)``, most frequent first: lower-cased, of 3 to WORD letters, ties by code point."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            clean: Counter[str] = Counter()
+            for w, n in seen.items():  # signs around words are cut off once a distinct word, not once an occurrence
+                w = w.strip(EDGES).lower()
+                if 3 <= len(w) <= WORD and w.isalpha():
+                    clean[w] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(clean.keys(), pa.string()), pa.array(clean.values(), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update((t.as_py() or "").split())
+                if len(seen) > 400_000:
+                    yield told()
+        yield told()
+
+    counts = docs.select("text").mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(top).collect()]
+
+
+def find_secrets(docs: DataFrame, min_log10_guesses: float = 8.0, words: Sequence[str] | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, spans array<struct<start, end, kind, log10_guesses>>. ``words`` by rank: common
+    passwords and the documents' frequent words if not given."""
     ranks: dict[str, int] = {}
-    for w in words:
+    for w in [*COMMON_WORDS, *frequent_words(docs)] if words is None else words:
         ranks.setdefault(w, len(ranks) + 1)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("log10_guesses", pa.float64())]))
+    id_type = dict(docs.dtypes)["doc_id"]
 
     def rows(batches):
         for batch in batches:
@@ -147,7 +216,7 @@ def find_secrets(docs: DataFrame, min_log10_guesses: float = 8.0, words: Sequenc
             found = [[dict(zip(("start", "end", "kind", "log10_guesses"), x, strict=True)) for x in scan(t.as_py(), min_log10_guesses, ranks)] for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, spans array<struct<start: long, end: long, kind: string, log10_guesses: double>>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, spans array<struct<start: long, end: long, kind: string, log10_guesses: double>>")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -166,4 +235,4 @@ def digest(spans: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
-    return spans.mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double")
+    return spans.mapInArrow(rows, f"doc_id {dict(spans.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double")

@@ -1,5 +1,6 @@
 """Secrets, quality rules, language ID: results of a row depend on that row alone."""
 
+import itertools
 import math
 import re
 import zlib
@@ -39,24 +40,69 @@ def test_secrets(docs, none):
 
 
 def brute_cost(value, ranks):
-    """All cuts, on short values."""
-    found = list(secrets.segments(value, ranks))
-    best = {(0, False): 0.0}
-
-    def go(i, brute):
-        if i == len(value):
-            return 0.0
-        options = [secrets._one(value[i]) + (0 if brute and i else secrets.SEGMENT) + go(i + 1, True)]
-        options += [c + secrets.SEGMENT + go(b, False) for a, b, c in found if a == i]
-        return min(options)
-
-    return go(0, True) if best else 0
-
-
-@pytest.mark.parametrize("value", ["love123", "2024-05-06", "qwerfv", "p4ssw0rd", "xkcdpqz", "Summer2019"])
-def test_guess_cost(value):
-    assert secrets.guess_cost(value) <= brute_cost(value, secrets.RANKS) + 1e-9
-    assert abs(secrets.guess_cost(value) - brute_cost(value, secrets.RANKS)) < 0.71  # states keep one cheapest way each
+    """The least over all cuts, each piece of a cut tried as every kind of segment, from the definitions alone."""
+    beside = lambda a, b: any(b == row[x] for y, row in enumerate(secrets.KEY_ROWS) for x in range(len(row)) for k, d in near_places(a) if (y, x) == (k, d))
+    place = {c: (y, x) for y, row in enumerate(secrets.KEY_ROWS) for x, c in enumerate(row)}
+
+    def near_places(c):
+        if c not in place:
+            return []
+        y, x = place[c]
+        return [(y, x - 1), (y, x + 1), (y - 1, x), (y - 1, x + 1), (y + 1, x), (y + 1, x - 1)]
+
+    def kinds(piece):
+        low = piece.lower()
+        plain = low.translate(secrets.LEET)
+        yield sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in piece)
+        if len(piece) > 1 and plain in ranks:
+            caps = sum(c.isupper() for c in piece)
+            yield math.log10(ranks[plain]) + math.log10(2) * ((1 if caps in (1, len(piece)) else caps) + sum(a != b for a, b in zip(low, plain, strict=True)))
+        if re.fullmatch(r"(19|20)\d\d", piece):
+            yield math.log10(200)
+        for sep in ("", "-", "/", "."):
+            for form in (f"(19|20)\\d\\d{re.escape(sep)}(0[1-9]|1[0-2]){re.escape(sep)}(0[1-9]|[12]\\d|3[01])", f"(0[1-9]|[12]\\d|3[01]){re.escape(sep)}(0[1-9]|1[0-2]){re.escape(sep)}(19|20)\\d\\d"):
+                if re.fullmatch(form, piece):
+                    yield math.log10(200 * 365.25) + (math.log10(4) if sep else 0)
+        if len(piece) >= 3 and all(beside(a, b) for a, b in zip(low, low[1:], strict=False)):
+            ways = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) for a, b in zip(low, low[1:], strict=False)]
+            yield math.log10(47 * len(piece)) + math.log10(4) * (1 + sum(a != b for a, b in zip(ways, ways[1:], strict=False)))
+        for p in range(1, len(piece) // 2 + 1):
+            k = len(piece) // p
+            if len(piece) % p == 0 and piece == piece[:p] * k and k >= (2 if p > 1 else 3):
+                yield whole(piece[:p]) + math.log10(k)
+
+    def whole(v):
+        if v not in known:
+            known[v] = min(sum(piece_cost(v[a:b]) for a, b in zip((0, *cut), (*cut, len(v)), strict=True)) for r in range(len(v)) for cut in itertools.combinations(range(1, len(v)), r)) if v else 0.0
+        return known[v]
+
+    def piece_cost(piece):
+        if piece not in pieces:
+            pieces[piece] = min(kinds(piece)) + secrets.SEGMENT
+        return pieces[piece]
+
+    known, pieces = {}, {}
+    return whole(value)
+
+
+def test_guess_cost_is_the_least_of_all_cuts():
+    rng = __import__("random").Random(3)
+    parts = ["love", "Pa55", "qwe", "rty", "wert", "1999", "2024", "12-31", "aa", "ab", "abab", "me", "45", "x", "!", "zz", "111", "1999-12-31", "asdf", "xyz"]
+    values = ["45me45", "lovewert", "abcabc", "aaaa", "aabaab", "20240506", "31.12.1999", "qwerfv", "p4ssw0rd", "abababab", "xyxyxyxy1", "MEme", "passpass12"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))[:10] for _ in range(1500)]
+    values += ["".join(rng.choice("ab1q!") for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    for v in values:
+        assert abs(secrets.guess_cost(v) - brute_cost(v, secrets.RANKS)) < 1e-9, v
+
+
+def test_the_corpus_is_the_dictionary(spark):
+    """Frequent words of any language are cheap; a value beside a name that the patterns don't know is found."""
+    prose = "Die Verbindung wurde geschlossen, el servidor responde; être (Verbindung) Verbindung. " * 5
+    df = spark.createDataFrame([(1, prose + "login is Verbindung"), (2, "pwd=Verbindung7 passphrase: k9#Vt!x2Lq"), (3, None), (4, ""), (2, "pwd=Verbindung7 passphrase: k9#Vt!x2Lq")], "doc_id long, text string").withColumn("spans", __import__("pyspark").sql.functions.lit(1))
+    assert secrets.frequent_words(df, 2) == ["verbindung", "die"] and secrets.frequent_words(df.limit(0)) == []
+    got = [(r["doc_id"], [(s["kind"], s["start"]) for s in r["spans"]]) for r in secrets.find_secrets(df).orderBy("doc_id").collect()]
+    assert got == [(1, []), (2, [("guess", 28)]), (2, [("guess", 28)]), (3, []), (4, [])]
+    assert {r["n_assign"] for r in secrets.digest(secrets.find_secrets(df)).collect()} == {0}
 
 
 def test_guess_cost_orders():
