@@ -12,6 +12,7 @@ differs goes back to its pair's rows by a join. ``documents`` strings the rows t
 A turn's value is its place: gaps are fine if both sides have them. Several rows of one side at one turn must agree as
 multisets (compared by 128 bits of hashes of role and text). Null roles render as ``unknown`` and null texts as empty, but
 a null differs from an empty string in comparison. A null turn sorts first. A pair with one side only has no prompt.
+An empty table gives an empty result. Other columns are ignored, whatever their names. A turn's text is never split: memory follows the longest.
 """
 
 from __future__ import annotations

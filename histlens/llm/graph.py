@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for every vertex of ``edges(a, b)``: comp is the smallest vertex reachable.
 
     A round takes the least label among neighbours and then the label of that label, so that long chains halve. Rounds end
-    when no label changes; each round's labels are a written table.
+    when no label changes; each round's labels are a written table. No edges give no rows; edges with a null are ignored.
     """
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("comp")), "labels")
     while True:

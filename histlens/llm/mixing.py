@@ -16,8 +16,11 @@ So no block is used more than ceil(slots / blocks) <= ``most`` times and no docu
 source's words differ from its target by less than the unevenness of its last pass. Seeded by data and parameters alone.
 
 Null or empty texts have size 0 and take nothing. Rows that repeat a doc_id are separate documents. An empty table, or one
-without words, gives targets of 0. Only per-source totals (one row a source) and shard counts (at most 10,000 shards)
-come to the driver. Texts are shuffled twice: by bucket, and as blocks by index.
+without words, gives targets of 0. Other columns are ignored. Memory follows a batch of texts, the longest text included, and a block.
+What comes to the driver is a row a source, and the shards' counts by source: there are at most SHARDS shards, so on corpora of more than
+SHARDS * shard_slots slots a shard is larger than ``shard_slots``; that bounds the plan and changes no document's share.
+Texts are shuffled twice: by bucket, and as blocks by index. Blocks are numbered by running sums over groups of LEVEL buckets, then over
+groups, so that a source's buckets don't meet in one task.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from .common import mixed, written
 
 WEIGHTS = (5, 2, 1)
 Weights = Sequence[float] | Mapping[str | None, float]
-SHARDS = 10_000
+SHARDS, LEVEL = 10_000, 1024
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -175,8 +178,11 @@ def _built(docs: DataFrame, weights: Weights, share: float, most: float, block:
     laid = written(dealt(sizes_of, "size", "source_size", "target").withColumn("row", F.row_number().over(order).cast("long")), "laid")
 
     totals = laid.groupBy("s", "b").agg(F.sum("size").alias("words")).select("s", "b", F.ceil(F.col("words") / block).cast("long").alias("blocks"))
-    upto = Window.partitionBy("s").orderBy("b")  # a row a bucket: bucket_docs times fewer than documents
-    firsts = written(totals.select("s", "b", "blocks", (F.sum("blocks").over(upto) - F.col("blocks")).alias("first")), "buckets")
+    totals = written(totals.withColumn("g", F.floor(F.col("b") / LEVEL)), "totals")
+    inside, across = Window.partitionBy("s", "g").orderBy("b"), Window.partitionBy("s").orderBy("g")  # a row for LEVEL * bucket_docs documents
+    groups = totals.groupBy("s", "g").agg(F.sum("blocks").alias("n")).select("s", "g", (F.sum("n").over(across) - F.col("n")).alias("base"))
+    running = totals.select("s", "g", "b", "blocks", (F.sum("blocks").over(inside) - F.col("blocks")).alias("at"))
+    firsts = written(running.join(groups, ["s", "g"]).select("s", "b", "blocks", (F.col("base") + F.col("at")).alias("first")), "buckets")
     n_blocks = [0] * len(sizes)
     for r in firsts.groupBy("s").agg(F.sum("blocks").alias("n")).collect():
         n_blocks[r["s"]] = int(r["n"])

@@ -5,7 +5,8 @@ the rules that it enforces; ``apply_policy`` keeps a document iff ``fail_bits &
 bits of a ledger: how many documents each rule fails, fails alone, and would be kept without it.
 
 Only DataFrame functions: one pass over the text, no shuffle (ablation: one partial aggregate). Null text counts as
-having no words. Repeated rows give repeated results; an empty table gives an empty ledger (and zero counts).
+having no words. Repeated rows give repeated results; an empty table gives an empty ledger (and zero counts). Columns other than doc_id
+and text are ignored. A text's words are one array, so memory follows the longest text.
 
 Repeated 3-word windows are found per row: window hashes (64 bits) are sorted with their positions and compared with
 their neighbours, n log n in the words of a text. Two different windows of one text would have to share a hash to matter

@@ -353,6 +353,14 @@ def test_mix_holds_the_words(docs, none):
     assert mixing.shards(none).count() == 0
 
 
+def test_blocks_are_numbered_in_two_levels(docs, monkeypatch):
+    """Groups of two buckets number the same blocks as one group of all."""
+    small = dict(block=8, bucket_docs=3, shard_slots=64)
+    whole = by_row(mixing.mix(docs, **small), "doc_id", "size", "taken")
+    monkeypatch.setattr(mixing, "LEVEL", 2)
+    assert by_row(mixing.mix(docs, **small), "doc_id", "size", "taken") == whole
+
+
 def test_mix_takes_weights(docs):
     only_b = {r["source"] for r in mixing.shards(docs, share=0.1, block=8, bucket_docs=7, weights={"a": 0, "b": 1, None: 0}).collect()}
     assert only_b == {"b"}
