@@ -74,6 +74,11 @@ class Histories:
         """Only the histories of ``keep(h)``."""
         return Histories(*(t.join(keep.select("h"), "h", "left_semi") for t in (self.events, self.txns, self.hist)))
 
+    def committed(self) -> Histories:
+        """Without aborted transactions; the others keep their ids, so heights may have gaps."""
+        done = self.txns.where("committed")
+        return Histories(self.events.join(done.select("h", "txn"), ["h", "txn"], "left_semi"), done, self.hist)
+
     def persisted(self) -> Histories:
         return Histories(self.events.persist(), self.txns.persist(), self.hist.persist())
 

@@ -28,9 +28,9 @@ def session_order(hs: Histories) -> DataFrame:
 
 
 def session_chain(hs: Histories) -> DataFrame:
-    """h, src, dst: the root before each first transaction, each transaction before the session's next. Heights are dense, so no window."""
-    first = F.col("txn").bitwiseAND(F.lit((1 << 32) - 1)) == 0
-    return hs.txns.select("h", F.when(first, F.lit(ROOT).cast("long")).otherwise(F.col("txn") - 1).alias("src"), F.col("txn").alias("dst"))
+    """h, src, dst: the root before each first transaction, each transaction before the session's next, heights with gaps included."""
+    before = F.lag("txn").over(Window.partitionBy("h", session_of("txn")).orderBy("txn"))
+    return hs.txns.select("h", F.coalesce(before, F.lit(ROOT).cast("long")).alias("src"), F.col("txn").alias("dst"))
 
 
 def write_read(resolved: DataFrame) -> DataFrame:

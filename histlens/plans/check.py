@@ -72,7 +72,7 @@ def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: boo
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                for level, v in check_levels(to_history(r.events, r.txns, r.n_sessions), wanted, compat, budget).items():
+                for level, v in check_levels(to_history(r.events, r.txns, r.n_sessions), wanted, compat, budget, witness).items():
                     out.append({"h": r.h, **row_of(level, v, witness)})
             if out:
                 yield pd.DataFrame(out)
@@ -91,7 +91,7 @@ def level_summary(hs: Histories, compat: bool = True, budget: int | None = None)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat, budget)
+                got = check_levels(to_history(r.events, r.txns, r.n_sessions), None, compat, budget, False)
                 failed = next((x for x in Level if got[x].ok is False), None)
                 passed = [str(x) for x in Level if got[x].ok]
                 bad = got[failed] if failed else Verdict(True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dsl
 from .model import Histories, Level, session_of
-from .operators import graph, relations, validate
+from .operators import graph, reach, relations, validate
 from .operators.written import written
 from .plans import check as checks
 from .plans import saturation, witness
@@ -155,7 +155,15 @@ def rc_order_edges(spark, sf_dir):
 @query
 def vis_closure(spark, sf_dir):
     hs = stale(spark, sf_dir)
-    return graph.closure(relations.visibility_base(hs, validate.resolve_reads(hs), closed=False))
+    wr = relations.write_read(validate.resolve_reads(hs))
+    return reach.pairs_of(hs, reach.composed(reach.chain(hs).unionByName(reach.edges_of(wr))))
+
+
+@query
+def edge_closure(spark, sf_dir):
+    """Paths over any edge table, without the order of sessions: here of reads from writes."""
+    hs = stale(spark, sf_dir)
+    return graph.closure(relations.write_read_union(validate.resolve_reads(hs)))
 
 
 def _atomic_edges(hs: Histories) -> DataFrame:

@@ -216,6 +216,7 @@ SQL: dict[str, str] = {
         **SOUND,
     ),
     "rc_order_edges": _with("SELECT * FROM rc", **SOUND),
+    "edge_closure": _with("SELECT * FROM tc", "wu AS MATERIALIZED (SELECT DISTINCT h, src, dst FROM wr)", _closure("tc", "wu"), **SOUND),
     "vis_closure": _with("SELECT * FROM tc", _closure("tc", "vis"), **SOUND),
     "cycle_vertices": _with("SELECT h, src AS v FROM tl WHERE src = dst", *_atomic(), _closure("tl", "atom"), **SOUND),
     "cycle_edge": _with(
@@ -224,8 +225,9 @@ SQL: dict[str, str] = {
     ),
     "topo_levels": _with(
         "SELECT h, v, CAST(max(level) AS INTEGER) AS level FROM tp GROUP BY h, v",
-        "sp AS MATERIALIZED (SELECT h, src, dst FROM vis)",
-        "tp(h, v, level) AS (SELECT DISTINCT h, CAST(0 AS BIGINT), 0 FROM sp UNION SELECT sp.h, sp.dst, level + 1 FROM tp JOIN sp ON sp.h = tp.h AND sp.src = tp.v)",
+        # a vertex' level is one more than the largest level before it: taken along session chains and reads, only by the last to arrive
+        f"sp AS MATERIALIZED (SELECT h, coalesce(lag(txn) OVER (PARTITION BY h, txn // {_SHIFT} ORDER BY txn), 0) AS src, txn AS dst FROM x UNION SELECT h, src, dst FROM wr)",
+        "tp(h, v, level) AS (SELECT DISTINCT h, CAST(0 AS BIGINT), 0 FROM sp UNION SELECT sp.h, sp.dst, max(level) + 1 FROM tp JOIN sp ON sp.h = tp.h AND sp.src = tp.v GROUP BY sp.h, sp.dst)",
     ),
     "comm_graph": _with("SELECT * FROM cg", _COMM),
     "connected_components": _with(

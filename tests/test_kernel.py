@@ -31,6 +31,17 @@ def test_compat_off_allows_repeated_reads():
     assert check_levels(history("[x:=5] / [x==5 x==5]"), compat=False)[Level.SERIALIZABLE].ok
 
 
+def test_compat_off_lifts_aborted_transactions():
+    """An aborted write stands in nobody's way; reading it is an error still."""
+    text = "[x:=1]! [x==?] / [x==?]"
+    assert not check_levels(history(text))[Level.SERIALIZABLE].ok
+    assert all(v.ok for v in check_levels(history(text), compat=False).values())
+    assert all(v.ok and v.order == [] for v in check_levels(history("[x:=1]! / [y:=1]!"), compat=False).values())
+    assert check_levels(history("[x:=1]! / [x==1]"), compat=False)[Level.COMMITTED_READ].code == "UncommittedWrite"
+    gap = check_levels(history("[x:=1] [x:=2]! [x:=3] / [x==3] [x==1]"), compat=False)
+    assert gap[Level.REPEATABLE_READ].ok and not gap[Level.CAUSAL].ok
+
+
 def brute(rel: Relations, vis: list[int], level: Level) -> bool:
     """Whether some order of all halves (or transactions) fits, by trying all orders."""
     n = len(rel.ids)
