@@ -8,6 +8,9 @@ A history is three long tables keyed by ``h`` (its id):
 
 ``txn`` packs (session, height) into one BIGINT, session * 2^32 + height: sessions count from 1, heights from 0, so ids
 sort by session, then height, and 0 is the root, the transaction that wrote every variable's initial state.
+
+Versions are unsigned 64-bit numbers, of which only equality counts. A BIGINT holds them by their bits: those from 2^63 on are negative
+in tables, and come out as they went in wherever histories are written as text or JSON.
 """
 
 from __future__ import annotations
@@ -45,6 +48,26 @@ def parse_level(name: str) -> Level:
         raise ValueError(f"unknown consistency level {name!r}; one of {', '.join(Level)}") from None
 
 
+def wrapped(version: int) -> int:
+    """An unsigned version as a table holds it."""
+    return version - (1 << 64) if version >= 1 << 63 else version
+
+
+def unwrapped(version: int) -> int:
+    return version + (1 << 64) if version < 0 else version
+
+
+def version_text(version: Column) -> Column:
+    """A table's version as its unsigned decimal number."""
+    return F.when(version < 0, (version.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")).otherwise(version.cast("string"))
+
+
+def version_of(number: Column) -> Column:
+    """An unsigned decimal(20,0) as a table's version; null if it is none."""
+    large = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(number.between(F.lit(0), F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")), F.when(number < large, number).otherwise(number - large - large)).cast("long")
+
+
 def txn_id(session: Column | str, height: Column | str) -> Column:
     s, t = (F.col(x) if isinstance(x, str) else x for x in (session, height))
     return F.shiftleft(s.cast("long"), SHIFT) + t.cast("long")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.dsl import ParseError, parse
-from ..model import Histories, Level, parse_level
+from ..model import Histories, Level, parse_level, unwrapped
 from .check import ident, packed, row_of, to_history
 from .kernel import check_levels
 
@@ -19,7 +19,7 @@ def sessions_of(hist) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(hist.n_sessions)]
     by: dict[int, list] = {t: [] for t in sorted(hist.committed)}
     for t, _, op, x, v in hist.events:
-        by[t].append((op, x, v))
+        by[t].append((op, x, None if v is None else unwrapped(v)))
     for t, events in by.items():
         out[ident(t)["session_id"] - 1].append({
             "id": ident(t), "reads": {x: v for op, x, v in events if op == "R"}, "writes": {x: v for op, x, v in events if op == "W"},

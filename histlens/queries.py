@@ -206,7 +206,8 @@ def connected_components(spark, sf_dir):
 
 @query
 def biconnected_components(spark, sf_dir):
-    return graph.biconnected_components(*_sessions(observed(spark, sf_dir)))
+    found = graph.biconnected_components(*_sessions(observed(spark, sf_dir)))
+    return found.select("h", F.array_join(F.col("block").cast("array<string>"), ",").alias("block"))
 
 
 @query
@@ -265,6 +266,17 @@ def invalid_witnesses(spark, sf_dir):
     return out
 
 
+@query
+def invalid_orders(spark, sf_dir):
+    """What an order by height, then session breaks as a serial one: most histories' reads."""
+    from pyspark.sql import Window
+
+    hs = stale(spark, sf_dir)
+    height = F.col("txn").bitwiseAND(F.lit((1 << 32) - 1))
+    order = hs.txns.select("h", (F.row_number().over(Window.partitionBy("h").orderBy(height, "txn")) - 1).alias("i"), "txn", F.lit(True).alias("is_write"))
+    return witness.invalid_orders(hs, order, Level.SERIALIZABLE)
+
+
 @query
 def witness_pairs(spark, sf_dir):
     """Neighbours in the order of session, then height: a fixed order for every history."""
@@ -279,6 +291,11 @@ def format_txn(spark, sf_dir):
     return dsl.format_transactions(observed(spark, sf_dir))
 
 
+@query
+def format_txn_debug(spark, sf_dir):
+    return dsl.format_transactions(observed(spark, sf_dir), debug=True)
+
+
 @query
 def format_history(spark, sf_dir):
     return dsl.format_histories(observed(spark, sf_dir))

@@ -7,12 +7,13 @@ Files that can't be decoded become error rows.
 from __future__ import annotations
 
 import json
+import pathlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dsl import format_histories, parse_texts
-from ..model import Histories, to_nested
+from ..model import Histories, from_nested, to_nested, version_of, version_text
 
 PARAMS = "struct<id: long, n_node: long, n_variable: long, n_transaction: long, n_event: long>"
 
@@ -20,11 +21,12 @@ PARAMS = "struct<id: long, n_node: long, n_variable: long, n_transaction: long,
 def _event(v: Column) -> Column:
     """An event struct from a VARIANT of either encoding; null if it is neither."""
     get = lambda path, kind: F.try_variant_get(v, path, kind)
+    number = lambda path: version_of(get(path, "decimal(20,0)"))
     tag = get("$[0]", "string")
     tagged = lambda k: get(f"$.{k}.variable", "string").isNotNull()
     op = F.when(tag == "r", "R").when(tag == "w", "W").when(tagged("Read"), "R").when(tagged("Write"), "W")
     variable = F.coalesce(F.when(tag.isin("r", "w"), get("$[1]", "string")), get("$.Read.variable", "string"), get("$.Write.variable", "string"))
-    version = F.coalesce(F.when(tag.isin("r", "w"), get("$[2]", "bigint")), get("$.Read.version", "bigint"), get("$.Write.version", "bigint"))
+    version = F.coalesce(F.when(tag.isin("r", "w"), number("$[2]")), number("$.Read.version"), number("$.Write.version"))
     ok = op.isNotNull() & variable.isNotNull() & ((op == "R") | version.isNotNull())
     return F.when(ok, F.struct(op.alias("op"), variable.alias("variable"), version.alias("version")))
 
@@ -60,7 +62,7 @@ def encode(hs: Histories, compact: bool = False) -> DataFrame:
 
     def event(e: Column) -> Column:
         name = F.when(e["variable"].rlike("^[0-9]+$"), e["variable"]).otherwise(F.to_json(F.struct(e["variable"].alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["variable"].alias("x")))) - 6))
-        version = F.coalesce(e["version"].cast("string"), F.lit("null"))
+        version = F.coalesce(version_text(e["version"]), F.lit("null"))
         if compact:
             return F.concat(F.lit('["'), F.lower(e["op"]), F.lit('",'), name, F.lit(","), version, F.lit("]"))
         return F.concat(F.lit('{"'), F.when(e["op"] == "R", "Read").otherwise("Write"), F.lit('":{"variable":'), name, F.lit(',"version":'), version, F.lit("}}"))
@@ -81,6 +83,17 @@ def write_text(hs: Histories, path: str) -> None:
     format_histories(hs).write.mode("overwrite").partitionBy("h").text(path)
 
 
+def write_wrapped(made: DataFrame, folder: str, info: str = "generated") -> None:
+    """``{id}.json`` in a local folder for each history of ``made(id, sessions, params, start, end)``: the wrapper object, indented.
+    Histories come to the driver one at a time."""
+    data = encode(from_nested(made, "id", "sessions")).withColumnRenamed("h", "id")
+    heads = made.withColumn("info", F.lit(info)).select("id", F.to_json(F.struct("params", "info", "start", "end")).alias("head"))
+    out = pathlib.Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    for r in heads.join(data, "id").toLocalIterator():
+        (out / f"{r['id']}.json").write_text(json.dumps(json.loads(r["head"]) | {"data": json.loads(r["json"])}, indent=2) + "\n")
+
+
 def write_tables(hs: Histories, path: str) -> None:
     for name in ("events", "txns", "hist"):
         getattr(hs, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -92,7 +92,7 @@ def _with(final: str, *more: str, **kind: bool) -> str:
 
 
 SOUND = {"stale": True, "all_committed": True}
-#: Rounds of write-write order that the SQL unrolls; a test compares with the fixpoint.
+#: Rounds of write-write order that the SQL unrolls; a test shows that a further one adds nothing on the tables compared.
 ROUNDS = 3
 
 
@@ -192,8 +192,19 @@ def _all_levels() -> list[str]:
 
 _RC = [_closure("tr", "rc")]
 _TXT = "t AS (SELECT h, txn, '[' || string_agg(variable || CASE WHEN op = 'W' THEN ':=' ELSE '==' END || coalesce(CAST(version AS VARCHAR), '?'), ' ' ORDER BY pos) || ']' || CASE WHEN committed THEN '' ELSE '!' END AS text FROM e JOIN x USING (h, txn) GROUP BY h, txn, committed)"
+_PAGES = f"p AS (SELECT h, txn // {_SHIFT} AS s, string_agg(text || chr(10), '' ORDER BY txn) AS body FROM t GROUP BY ALL), page AS (SELECT h, string_agg(body, '---' || chr(10) ORDER BY s) AS text FROM p GROUP BY h)"
 _COMM = f"ac AS (SELECT DISTINCT h, variable, txn // {_SHIFT} AS s FROM e), cg AS MATERIALIZED (SELECT DISTINCT p.h, p.s AS a, q.s AS b FROM ac p JOIN ac q ON p.h = q.h AND p.variable = q.variable AND p.s < q.s)"
 
+#: Blocks by definition, for up to four sessions as bit sets: two that are linked, three that all are, four any three of which hang together;
+#: the largest of them, and sessions without a link.
+_BLOCKS = f"""vm AS (SELECT h, CAST(bit_or(1 << (txn // {_SHIFT} - 1)) AS INTEGER) AS everything FROM x GROUP BY h),
+em AS (SELECT h, CAST((1 << (a - 1)) | (1 << (b - 1)) AS INTEGER) AS e FROM cg),
+sm AS MATERIALIZED (SELECT v.h, v.m, bit_count(v.m) AS n, count(e) AS links FROM (SELECT h, everything, CAST(unnest(range(1, 16)) AS INTEGER) AS m FROM vm) v LEFT JOIN em ON em.h = v.h AND (em.e & v.m) = em.e WHERE (v.everything & v.m) = v.m GROUP BY v.h, v.m),
+bi AS (SELECT h, m FROM sm WHERE (n = 2 AND links = 1) OR (n = 3 AND links = 3) OR (n = 4 AND NOT EXISTS (SELECT 1 FROM sm z WHERE z.h = sm.h AND z.n = 3 AND z.links < 2))),
+blk AS MATERIALIZED (SELECT h, m FROM bi WHERE NOT EXISTS (SELECT 1 FROM bi z WHERE z.h = bi.h AND z.m <> bi.m AND (z.m & bi.m) = bi.m)
+  UNION ALL SELECT h, m FROM sm WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM em WHERE em.h = sm.h AND (em.e & sm.m) = sm.m))"""
+_LEX = r"-+|\[|\]|:=|==|\?|!|[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+|\r?\n|[ \t]+"
+
 SQL: dict[str, str] = {
     "scan_events": _with("SELECT * FROM e"),
     "scan_transactions": _with("SELECT * FROM x"),
@@ -224,16 +235,19 @@ SQL: dict[str, str] = {
         *_atomic(), _closure("tl", "atom"), **SOUND,
     ),
     "topo_levels": _with(
-        "SELECT h, v, CAST(max(level) AS INTEGER) AS level FROM tp GROUP BY h, v",
-        # a vertex' level is one more than the largest level before it: taken along session chains and reads, only by the last to arrive
+        # the longest path to a vertex; one as long as there are vertices has been around a cycle, which ends at every vertex behind it within as many again
+        "SELECT tp.h, tp.v, CAST(nullif(least(max(level), any_value(nv)), any_value(nv)) AS INTEGER) AS level FROM tp JOIN sz USING (h) GROUP BY tp.h, tp.v",
         f"sp AS MATERIALIZED (SELECT h, coalesce(lag(txn) OVER (PARTITION BY h, txn // {_SHIFT} ORDER BY txn), 0) AS src, txn AS dst FROM x UNION SELECT h, src, dst FROM wr)",
-        "tp(h, v, level) AS (SELECT DISTINCT h, CAST(0 AS BIGINT), 0 FROM sp UNION SELECT sp.h, sp.dst, max(level) + 1 FROM tp JOIN sp ON sp.h = tp.h AND sp.src = tp.v GROUP BY sp.h, sp.dst)",
+        "sz AS MATERIALIZED (SELECT h, count(*) + 1 AS nv FROM x GROUP BY h)",
+        "tp(h, v, level) AS (SELECT DISTINCT h, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM sp UNION SELECT sp.h, sp.dst, level + 1 FROM tp JOIN sp ON sp.h = tp.h AND sp.src = tp.v JOIN sz ON sz.h = tp.h WHERE level < 2 * nv)",
     ),
     "comm_graph": _with("SELECT * FROM cg", _COMM),
     "connected_components": _with(
         "SELECT h, v, min(c) AS component FROM cc GROUP BY h, v", _COMM,
         f"cc(h, v, c) AS (SELECT DISTINCT h, txn // {_SHIFT}, txn // {_SHIFT} FROM x UNION SELECT cc.h, g.w, cc.c FROM cc JOIN (SELECT h, a AS u, b AS w FROM cg UNION ALL SELECT h, b, a FROM cg) g ON g.h = cc.h AND g.u = cc.v)",
     ),
+    "biconnected_components": _with("SELECT h, array_to_string(list_filter([1, 2, 3, 4], lambda x: (m & (1 << (x - 1))) > 0), ',') AS block FROM blk", _COMM, _BLOCKS),
+    "block_overlap": _with("SELECT h, sum(bit_count(m)) <> bit_count(bit_or(m)) AS overlap FROM blk GROUP BY h", _COMM, _BLOCKS),
     "check_rc": _with(_verdict(1), *_RC, **SOUND),
     "check_rr": _with(_verdict(2), *_RC, **SOUND),
     "check_ra": _with(_verdict(3), *_RC, *_atomic(), _closure("tl", "atom"), **SOUND),
@@ -244,8 +258,22 @@ SQL: dict[str, str] = {
     "level_summary": _with(_summary(), *_all_levels(), **SOUND),
     "check_observed": _with(_summary(), *_all_levels()),
     "invalid_witnesses": "SELECT CAST(NULL AS BIGINT) AS h, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS VARCHAR) AS level WHERE false",
+    "invalid_orders": _with(
+        """SELECT DISTINCT v.h, 'visibility' AS why FROM vis v JOIN od a ON a.h = v.h AND a.txn = v.src JOIN od b ON b.h = v.h AND b.txn = v.dst WHERE a.i >= b.i
+UNION SELECT DISTINCT wr.h, 'overwritten' FROM wr JOIN od a ON a.h = wr.h AND a.txn = wr.src JOIN od b ON b.h = wr.h AND b.txn = wr.dst
+  JOIN wx ON wx.h = wr.h AND wx.variable = wr.variable AND wx.txn <> wr.src AND wx.txn <> wr.dst JOIN od c ON c.h = wx.h AND c.txn = wx.txn WHERE a.i < c.i AND c.i < b.i""",
+        f"od AS MATERIALIZED (SELECT h, txn, row_number() OVER (PARTITION BY h ORDER BY txn % {_SHIFT}, txn) AS i FROM x UNION ALL SELECT h, 0, -1 FROM n)", **SOUND,
+    ),
     "witness_pairs": _with("SELECT * FROM (SELECT h, row_number() OVER k - 1 AS i, txn AS src, lead(txn) OVER k AS dst FROM x WINDOW k AS (PARTITION BY h ORDER BY txn)) WHERE dst IS NOT NULL"),
     "format_txn": _with("SELECT * FROM t", _TXT),
+    "format_txn_debug": _with("SELECT * FROM t", _TXT.replace("':='", "'<='").replace("'=='", "'=>'")),
+    "tokenize_dsl": _with(
+        """SELECT h, CAST(i - 1 AS INTEGER) AS i, CASE WHEN tok[1] = '-' THEN 'Dash' WHEN tok = '[' THEN 'BracketOpen' WHEN tok = ']' THEN 'BracketClose' WHEN tok = ':=' THEN 'ColonEquals' WHEN tok = '==' THEN 'DoubleEquals'
+  WHEN tok = '?' THEN 'QuestionMark' WHEN tok = '!' THEN 'Bang' WHEN regexp_full_match(tok, '[0-9]+') THEN 'Integer' WHEN ends_with(tok, chr(10)) THEN 'Newline' WHEN trim(tok, ' ' || chr(9)) = '' THEN 'Whitespace' ELSE 'Ident' END AS kind,
+  CAST(sum(length(tok)) OVER k - length(tok) AS INTEGER) AS start, CAST(sum(length(tok)) OVER k AS INTEGER) AS "end", tok AS text
+FROM (SELECT h, unnest(ts) AS tok, generate_subscripts(ts, 1) AS i FROM lx) WINDOW k AS (PARTITION BY h ORDER BY i)""",
+        _TXT, _PAGES, f"lx AS (SELECT h, regexp_extract_all(text, '{_LEX}') AS ts FROM page)",
+    ),
     "format_history": _with("SELECT h, string_agg(body, '---' || chr(10) ORDER BY s) AS text FROM p GROUP BY h", _TXT, f"p AS (SELECT h, txn // {_SHIFT} AS s, string_agg(text || chr(10), '' ORDER BY txn) AS body FROM t GROUP BY ALL)"),
     "dictionary_encode": _with("SELECT h, variable, row_number() OVER (PARTITION BY h ORDER BY seen) - 1 AS id FROM (SELECT h, variable, min(struct_pack(t := txn, p := pos)) AS seen FROM e GROUP BY h, variable)"),
     "parse_dsl": _with("SELECT * FROM e"),

@@ -156,6 +156,80 @@ def test_generated(spark):
         generate.generate(spark, 1, 1, 0, 1, 1)
 
 
+def test_generated_by_definition(spark):
+    """Each history read in order: reads return what was latest before their transaction, at most one a variable; writes count up."""
+    made = {r["id"]: r for r in generate.generate(spark, 30, 3, 3, 4, 5, seed=2).collect()}
+    other = {r["id"]: r["sessions"] for r in generate.generate(spark, 5, 3, 3, 4, 5, seed=3).collect()}
+    ops = []
+    for r in made.values():
+        count = dict.fromkeys("012", 0)
+        first, *rest = (t for s in r["sessions"] for t in s)
+        assert [(e["op"], e["variable"], e["version"]) for e in first["events"]] == [("W", x, 0) for x in "012"]
+        for t in rest:
+            before, read = dict(count), set()
+            assert t["committed"] and len(t["events"]) == 5
+            for e in t["events"]:
+                if e["op"] == "R":
+                    assert e["variable"] not in read and e["version"] == before[e["variable"]]
+                    read.add(e["variable"])
+                else:
+                    count[e["variable"]] += 1
+                    assert e["version"] == count[e["variable"]]
+                ops.append(e["op"])
+        assert r["seconds"] >= 0 and r["params"]["n_event"] == 5
+    assert 0.25 < ops.count("R") / len(ops) < 0.5 and all(other[i] != made[i]["sessions"] for i in other)
+    shape = lambda *a: [len(s) for s in generate.generate(spark, 1, *a).first()["sessions"]]
+    assert shape(2, 1, 0, 3) == [1, 0] and shape(2, 1, 2, 0) == [3, 2] and shape(0, 1, 2, 2) == []
+
+
+def test_large_versions(spark):
+    """Unsigned 64-bit versions, in text and both JSON encodings."""
+    top = (1 << 64) - 1
+    text = f"[x:={top} y:={1 << 63}]\n---\n[x=={top} y=={1 << 63} z=={(1 << 63) - 1}]\n"
+    assert dsl.format_sessions(dsl.parse(text)) == text
+    with pytest.raises(dsl.ParseError):
+        dsl.parse(f"[x:={top + 1}]\n")
+    hs = dsl.read_histories(spark.createDataFrame([("h", text)], "h string, text string"))
+    assert dsl.format_histories(hs).first()["text"] == text
+    for compact in (False, True):
+        made = json_files.encode(hs, compact)
+        assert str(top) in made.first()["json"]
+        assert rows(from_nested(json_files.decode(made)).events) == rows(hs.events)
+    odd = spark.createDataFrame([(str(v), f'[[{{"events":[["w",0,{v}]],"committed":true}}]]') for v in (top + 1, -1)], "h string, json string")
+    assert {r["message"] for r in json_files.decode(odd).collect()} == {"unknown event"}
+    found = relations.write_read(validate.resolve_reads(hs)).where("variable <> 'z'").collect()
+    assert {(r["src"], r["dst"]) for r in found} == {(1 << SHIFT, 2 << SHIFT)}
+
+
+def test_verify(spark, tmp_path, capsys):
+    from histlens import cli
+
+    (tmp_path / "a.hist").write_text("[x:=1]\n---\n[x==1]\n")
+    (tmp_path / "b.txt").write_text("[x:=1]!\n---\n[x==1]\n")
+    (tmp_path / "c.json").write_text("{")
+    cli._spark = lambda: spark
+    assert cli.main(["verify", "--consistency", "serializable", str(tmp_path)]) == 1
+    said = capsys.readouterr().out.splitlines()
+    assert [x.split(" (")[0] for x in said] == ["a.hist: PASS", "b.txt: FAIL", "c.json: FAIL"] and "UncommittedWrite" in said[1]
+    assert cli.main(["verify", "--consistency", "causal", "--json", str(tmp_path / "a.hist")]) == 0
+    assert "SaturationOrder" in json.loads(capsys.readouterr().out)["witness"]
+    assert cli.main(["generate", "--n-hist", "2", "--output-dir", str(tmp_path / "made")]) == 0
+    made = json.loads((tmp_path / "made" / "1.json").read_text())
+    assert made["params"]["id"] == 1 and len(made["data"]) == 3 and json_files.read(spark, str(tmp_path / "made")).where("message IS NULL").count() == 2
+
+
+def test_unrolled_rounds_are_enough():
+    """A further round of write-write order adds nothing to the SQL's last, on the tables compared."""
+    import duckdb
+
+    from histlens import sql
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    more = sql._with(f"SELECT count(*) FROM (SELECT h, src, dst FROM ({sql._ww('causal')}) EXCEPT SELECT h, src, dst FROM causal)", *sql._causal(), **sql.SOUND)
+    assert con.sql(more).fetchall() == [(0,)]
+
+
 def test_workload(spark):
     hs = generate.workload(spark, 3, 2, 3, 3)
     assert hs.events.count() == 54 and checks.check(hs, "committed-read", witness=False).where("ok").count() == 3
