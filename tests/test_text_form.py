@@ -19,7 +19,7 @@ def test_sessions_and_transactions():
     assert dsl.parse("[x==?]!\n") == [[{"events": [{"op": "R", "variable": "x", "version": None}], "committed": False}]]
 
 
-@pytest.mark.parametrize("text, line, column", [("[x:=1]\n@bad\n", 2, 1), ("[x:=1]", 1, 7), ("[]\n", 1, 2), ("[ x:=1]\n", 1, 2), ("[x:=1 ]\n", 1, 7), ("[x:=]\n", 1, 3), ("[x:=1]\r\n", 1, 7), ("[x=1]\n", 1, 3), ("[x:=9223372036854775808]\n", 1, 5)])
+@pytest.mark.parametrize("text, line, column", [("[x:=1]\n@bad\n", 2, 1), ("[x:=1]", 1, 7), ("[]\n", 1, 2), ("[ x:=1]\n", 1, 2), ("[x:=1 ]\n", 1, 7), ("[x:=]\n", 1, 3), ("[x:=1]\r\n", 1, 7), ("[x=1]\n", 1, 3), ("[x:=18446744073709551616]\n", 1, 5)])
 def test_errors_have_places(text, line, column):
     with pytest.raises(dsl.ParseError) as e:
         dsl.parse(text)
