@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SHIFT, Histories, Level, parse_level
-from .kernel import History, Relations, Verdict, check_levels, saturate
+from . import ordering
+from .kernel import History, Relations, Verdict, check_levels, linearize, saturate
+
+#: How the three strongest levels are decided: by search over frontiers, or by order constraints.
+ENGINES = {"search": linearize, "ordering": ordering.solve}
 
 PACKED = "events array<struct<txn: long, pos: long, op: string, variable: string, version: long>>, txns array<struct<txn: long, committed: boolean>>, n_sessions int"
 TXN_ID = "struct<session_id: long, session_height: long>"
@@ -58,21 +62,21 @@ def row_of(level: Level, v: Verdict, witness: bool) -> dict:
     }
 
 
-def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: bool = True, budget: int | None = None) -> DataFrame:
+def check(hs: Histories, *levels: Level | str, compat: bool = True, witness: bool = True, budget: int | None = None, engine: str = "search") -> DataFrame:
     """h and RESULT, a row for each history and level (all seven by default).
 
     The search goes to its end unless ``budget`` bounds its nodes; ``ok`` is null where it ran out: unknown is never reported as a
     violation. An error may carry a
-    weaker level than the one asked for. ``error_where`` is (transaction, position) of a structural error or an edge on a cycle.
+    weaker level than the one asked for. ``engine`` is one of ENGINES; their verdicts are equal, their witnesses need not be. ``error_where`` is (transaction, position) of a structural error or an edge on a cycle.
     """
     wanted = [parse_level(x) for x in levels] or list(Level)
-    rows = packed(hs)
+    rows, solve = packed(hs), ENGINES[engine]
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                for level, v in check_levels(to_history(r.events, r.txns, r.n_sessions), wanted, compat, budget, witness).items():
+                for level, v in check_levels(to_history(r.events, r.txns, r.n_sessions), wanted, compat, budget, witness, solve).items():
                     out.append({"h": r.h, **row_of(level, v, witness)})
             if out:
                 yield pd.DataFrame(out)

@@ -25,10 +25,12 @@ def consecutive(order: DataFrame) -> DataFrame:
 
 
 def invalid_orders(hs: Histories, order: DataFrame, level: Level) -> DataFrame:
-    """h, why: what an order of serializable or snapshot isolation breaks; nothing for a valid one.
+    """h, why: what an order of a strong level breaks; nothing for a valid one.
 
     ``missing``: not every transaction (half) once. ``visibility``: against session or write-read order. ``overwritten``: a write
     between a read's source and the read. ``overlap``: writers of one variable whose spans overlap (snapshot isolation).
+    A prefix order places writes only: a transaction may read at any point before its write and after the writes it must see, so it is
+    held to the earliest.
     """
     split = level == Level.SNAPSHOT_ISOLATION
     at = order.groupBy("h", "txn").agg(F.min(F.when(~F.col("is_write") if split else F.col("is_write"), F.col("i"))).alias("r"), F.max(F.when(F.col("is_write"), F.col("i"))).alias("w"), F.count(F.lit(1)).alias("n"))
@@ -39,7 +41,10 @@ def invalid_orders(hs: Histories, order: DataFrame, level: Level) -> DataFrame:
     pos = at.select("h", "txn", "r", "w").unionByName(root)
     as_ = lambda k: pos.select("h", F.col("txn").alias(k), F.col("r").alias(f"{k}_r"), F.col("w").alias(f"{k}_w"))
     vis = relations.visibility_base(hs, resolved, closed=False)
-    crossed = vis.join(as_("src"), ["h", "src"]).join(as_("dst"), ["h", "dst"]).where("src_w >= dst_r").select("h", F.lit("visibility").alias("why"))
+    if level == Level.PREFIX:  # just behind the last write to see
+        seen = vis.join(pos.select("h", F.col("txn").alias("src"), "w"), ["h", "src"]).groupBy("h", F.col("dst").alias("txn")).agg((F.max("w") + 1).alias("r"))
+        pos = pos.drop("r").join(seen, ["h", "txn"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    crossed = vis.join(as_("src"), ["h", "src"]).join(as_("dst"), ["h", "dst"]).where("src_w >= dst_w" if level == Level.PREFIX else "src_w >= dst_r").select("h", F.lit("visibility").alias("why"))
     reads = relations.write_read(resolved).select("h", "variable", "src", "dst").join(as_("src"), ["h", "src"]).join(as_("dst"), ["h", "dst"])
     other = relations.writes(hs).select("h", "variable", F.col("txn").alias("other")).join(as_("other"), ["h", "other"])
     over = reads.join(other, ["h", "variable"]).where("other <> src AND other <> dst AND src_w < other_w AND other_w < dst_r").select("h", F.lit("overwritten").alias("why"))

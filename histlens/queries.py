@@ -222,9 +222,9 @@ def _plan(level: Level) -> Query:
     return run
 
 
-def _kernel(level: Level) -> Query:
+def _kernel(level: Level, engine: str = "search") -> Query:
     def run(spark, sf_dir):
-        return checks.check(stale(spark, sf_dir), level, witness=False).select("h", "ok", "error_kind", "error_level", "error_code")
+        return checks.check(stale(spark, sf_dir), level, witness=False, engine=engine).select("h", "ok", "error_kind", "error_level", "error_code")
 
     return run
 
@@ -234,6 +234,8 @@ for _name, _level in LEVELS.items():
     QUERIES[f"check_{_name}"] = _kernel(_level)
     if _level in saturation.PLANS:
         QUERIES[f"check_{_name}_by_joins"] = _plan(_level)
+    if _level.rank > Level.CAUSAL.rank:
+        QUERIES[f"check_{_name}_by_ordering"] = _kernel(_level, "ordering")
 
 
 @query
@@ -254,10 +256,10 @@ def causal_steps(spark, sf_dir):
 
 @query
 def invalid_witnesses(spark, sf_dir):
-    """Serializable and snapshot-isolation witnesses checked by joins; empty unless the search is wrong."""
+    """Witnesses of the three strongest levels checked by joins; empty unless the search is wrong."""
     hs = stale(spark, sf_dir)
     out = None
-    for level in (Level.SERIALIZABLE, Level.SNAPSHOT_ISOLATION):
+    for level in (Level.SERIALIZABLE, Level.SNAPSHOT_ISOLATION, Level.PREFIX):
         # a single session's order is by definition and needs no check against stale initial reads
         several = hs.where_histories(hs.hist.where("n_sessions > 1"))
         order = written(witness.order_rows(checks.check(several, level), level), "order")

@@ -282,3 +282,5 @@ FROM (SELECT h, unnest(ts) AS tok, generate_subscripts(ts, 1) AS i FROM lx) WIND
 }
 for _level in ("rc", "rr", "ra", "causal"):
     SQL[f"check_{_level}_by_joins"] = SQL[f"check_{_level}"]
+for _level in ("prefix", "si", "ser"):
+    SQL[f"check_{_level}_by_ordering"] = SQL[f"check_{_level}"]

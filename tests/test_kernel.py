@@ -5,6 +5,7 @@ import pytest
 from fixtures import ALL, ERRORS, VERDICTS, history
 
 from histlens.model import SHIFT, Level
+from histlens.plans import ordering
 from histlens.plans.kernel import History, Relations, check_levels, closed, saturate, topological
 
 
@@ -42,32 +43,33 @@ def test_compat_off_lifts_aborted_transactions():
     assert gap[Level.REPEATABLE_READ].ok and not gap[Level.CAUSAL].ok
 
 
+def fits(rel: Relations, vis: list[int], level: Level, order: list[tuple[int, bool]]) -> bool:
+    """Whether an order of all halves (or transactions), by index, keeps the level's rules."""
+    n = len(rel.ids)
+    at = {x: k for k, x in enumerate(order)}
+    split = level != Level.SERIALIZABLE
+    r = lambda i: at[i, not split]
+    w = lambda i: at[i, True]
+    if split and any(r(i) > w(i) for i in range(1, n)):
+        return False
+    if any(vis[i] >> j & 1 and w(i) > r(j) for i in range(1, n) for j in range(1, n)):
+        return False
+    for (x, src), readers in rel.readers.items():
+        for t in readers:
+            for other in rel.writers.get(x, ()):
+                if other not in (src, t) and (src == 0 or w(src) < w(other)) and w(other) < r(t):
+                    return False
+    if level == Level.SNAPSHOT_ISOLATION:
+        for a, b in itertools.combinations(range(1, n), 2):
+            if rel.writes[a] & rel.writes[b] and not (w(a) < r(b) or w(b) < r(a)):
+                return False
+    return True
+
+
 def brute(rel: Relations, vis: list[int], level: Level) -> bool:
     """Whether some order of all halves (or transactions) fits, by trying all orders."""
-    n = len(rel.ids)
-    halves = [(i, w) for i in range(1, n) for w in ((False, True) if level != Level.SERIALIZABLE else (True,))]
-    for order in itertools.permutations(halves):
-        at = {x: k for k, x in enumerate(order)}
-        split = level != Level.SERIALIZABLE
-        r = lambda i: at[i, not split]
-        w = lambda i: at[i, True]
-        if split and any(r(i) > w(i) for i in range(1, n)):
-            continue
-        if any(vis[i] >> j & 1 and w(i) > r(j) for i in range(1, n) for j in range(1, n)):
-            continue
-        ok = True
-        for (x, src), readers in rel.readers.items():
-            for t in readers:
-                for other in rel.writers.get(x, ()):
-                    if other not in (src, t) and (src == 0 or w(src) < w(other)) and w(other) < r(t):
-                        ok = False
-        if ok and level == Level.SNAPSHOT_ISOLATION:
-            for a, b in itertools.combinations(range(1, n), 2):
-                if rel.writes[a] & rel.writes[b] and not (w(a) < r(b) or w(b) < r(a)):
-                    ok = False
-        if ok:
-            return True
-    return False
+    halves = [(i, w) for i in range(1, len(rel.ids)) for w in ((False, True) if level != Level.SERIALIZABLE else (True,))]
+    return any(fits(rel, vis, level, list(order)) for order in itertools.permutations(halves))
 
 
 def random_history(rng: random.Random, sessions: int, txns: int, events: int, variables: int) -> History:
@@ -104,10 +106,48 @@ def test_search_against_all_orders(seed):
         for level in (Level.PREFIX, Level.SNAPSHOT_ISOLATION, Level.SERIALIZABLE):
             want = brute(rel, vis, level)
             assert got[level].ok == want, (h.events, level)
+            assert (ordering.solve(rel, vis, [1, 2, 3], level) is not None) == want, (h.events, level)
             checked[want] += 1
     assert min(checked.values()) > 5
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_engines_agree_and_order_by_the_rules(seed):
+    """Beyond what all orders can tell: the same verdicts, and orders that keep every rule."""
+    rng = random.Random(100 + seed)
+    passed = {True: 0, False: 0}
+    for k in range(300):
+        h = random_history(rng, 4, rng.randint(1, 4), 3, 2 + k % 3)
+        one, two = check_levels(h), check_levels(h, solve=ordering.solve)
+        assert [(x, one[x].ok, one[x].kind, one[x].level) for x in ALL] == [(x, two[x].ok, two[x].kind, two[x].level) for x in ALL], h.events
+        if not one[Level.CAUSAL].ok:
+            continue
+        rel = Relations(h)
+        vis, members = saturate(rel), list(range(1, len(rel.ids)))
+        for level in (Level.PREFIX, Level.SNAPSHOT_ISOLATION, Level.SERIALIZABLE):
+            order = ordering.solve(rel, vis, members, level)
+            assert order is None or (sorted(order) == sorted({*order}) and fits(rel, vis, level, order)), (h.events, level)
+            passed[one[level].ok] += 1
+    assert min(passed.values()) > 5
+
+
+def test_ordering_out_of_budget_is_unknown():
+    rng, unknown = random.Random(5), 0
+    for _ in range(200):
+        h = random_history(rng, 4, 3, 3, 2)
+        full, cut = check_levels(h, solve=ordering.solve), check_levels(h, solve=ordering.solve, budget=0)
+        for level in ALL:
+            assert cut[level].ok in (None, full[level].ok)
+            unknown += cut[level].ok is None
+    assert unknown
+
+
+def test_cyclic_facts_have_no_order():
+    rel = Relations(history("[x:=1] / [y:=1]"))
+    assert ordering.solve(rel, [0, 0b100, 0b010], [1, 2], Level.SERIALIZABLE) is None
+    assert ordering.solve(rel, [0, 0, 0], [], Level.PREFIX) == []
+
+
 def test_closure_of_cycles_and_long_chains():
     rows = [0b0010, 0b0100, 0b0001, 0]
     assert closed(rows) == [0b111, 0b111, 0b111, 0] and topological(rows) is None

@@ -63,13 +63,23 @@ def test_first_errors(hs):
 
 def test_witnesses_hold(hs):
     sound = hs.where_histories(hs.hist.where("n_sessions > 1"))
-    for level in (Level.SERIALIZABLE, Level.SNAPSHOT_ISOLATION):
-        order = witness.order_rows(checks.check(sound, level), level)
-        assert order.count() and witness.invalid_orders(sound, order, level).count() == 0
+    for level in (Level.SERIALIZABLE, Level.SNAPSHOT_ISOLATION, Level.PREFIX):
+        for engine in checks.ENGINES:
+            order = witness.order_rows(checks.check(sound, level, engine=engine), level)
+            assert order.count() and witness.invalid_orders(sound, order, level).count() == 0
     bad = witness.order_rows(checks.check(sound, Level.SERIALIZABLE), Level.SERIALIZABLE).where("h = 'serial pair'").withColumn("i", -1 * __import__("pyspark").sql.functions.col("i"))
     assert witness.invalid_orders(sound.where_histories(sound.hist.where("h = 'serial pair'")), bad, Level.SERIALIZABLE).count() > 0
 
 
+def test_wrong_prefix_orders(spark):
+    """The third transaction reads after the second and before the fourth, wherever its own write stands."""
+    hs = dsl.read_histories(spark.createDataFrame([("late", text_of("[x:=1] [y:=1] / [x==1 y==1 z:=1] / [x:=2]"))], "h string, text string"))
+    ids = {"a": (1 << 32), "b": (1 << 32) + 1, "c": (2 << 32), "d": (3 << 32)}
+    for names, why in (("abcd", set()), ("abdc", set()), ("dabc", set()), ("adbc", {"overwritten"}), ("bacd", {"visibility"}), ("acbd", {"visibility"}), ("abc", {"missing"})):
+        order = spark.createDataFrame([("late", i, ids[k], True) for i, k in enumerate(names)], "h string, i int, txn long, is_write boolean")
+        assert {r["why"] for r in witness.invalid_orders(hs, order, Level.PREFIX).collect()} == why, names
+
+
 def test_witness_shapes(spark):
     texts = {"apart": "[x:=1] / [x==1] / [y:=1] / [y==1] / [z:=1]", "shared": "[x:=1] / [x==1] [y:=1] / [y==1]", "one": "[x:=1] [x==1 y:=1]"}
     hs = dsl.read_histories(spark.createDataFrame([(k, text_of(v)) for k, v in texts.items()], "h string, text string"))
