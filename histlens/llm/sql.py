@@ -7,7 +7,8 @@ WITH d AS (
   SELECT rid, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
          length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
-         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(t, '[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]', '', 'g'))::BIGINT AS n_letters
   FROM d
 ), u AS (
   SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM m
@@ -19,14 +20,21 @@ WITH d AS (
   SELECT rid, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) AS s(o) WHERE twice GROUP BY rid
 ), b AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
-         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, n_letters,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]')))::BIGINT AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+         len(list_intersect(w, ['the', 'of', 'and', 'to', 'in', 'is', 'der', 'die', 'und', 'das', 'ein', 'nicht', 'de', 'la', 'que', 'el', 'los', 'en', 'le', 'les', 'et', 'un', 'des', 'une']))::BIGINT AS n_stop_words
   FROM m LEFT JOIN r USING (rid)
 ), f AS (
   SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-             + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines AND 10 * n_repeat_words > 3 * n_words)::BIGINT)::BIGINT AS fail_bits
+             + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines AND 10 * n_repeat_words > 3 * n_words)::BIGINT
+             + 64 * (10 * n_letters < 7 * word_chars)::BIGINT + 128 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT + 256 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT
+             + 512 * (n_stop_words < 2)::BIGINT)::BIGINT AS fail_bits
   FROM b
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letters, n_bullet_lines, n_ellipsis_lines, n_stop_words,
+       (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits = 0 AS kept_v2, fail_bits
+FROM f
 """
 
 OP4 = r"""

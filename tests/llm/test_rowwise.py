@@ -127,6 +127,30 @@ def test_quality(docs, none):
         assert want == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_lines"], r["n_dup_lines"], r["n_repeat_words"])
         assert (r["fail_bits"] & 1 != 0) == (len(w) < 50) and (r["fail_bits"] & 2 != 0) == (100 * len(again) > 50 * len(w))
         assert r["kept"] == (r["fail_bits"] & quality.POLICIES["v1"] == 0)
+        assert r["n_letters"] == sum(c.isalpha() or ord(c) > 126 or ord(c) < 32 for x in w for c in x)
+
+
+def test_rules_on_lines_and_stop_words(spark):
+    """Measurements, and the bits of the four rules after the first six."""
+    prose = "the cat sat on the mat and looked to the end of it"
+    cases = {
+        None: ((0, 0, 0, 0), {"few_stop_words"}),
+        "": ((0, 0, 0, 0), {"few_stop_words"}),
+        prose: ((38, 0, 0, 4), set()),
+        "\n".join(["- " + prose, "\t\u2022 " + prose, "*" + prose]): ((3 * 38 + 1, 3, 0, 4), {"bullets"}),
+        "\r\n".join([prose, "-", prose]): ((2 * 38, 1, 0, 4), set()),
+        f"{prose}... \n\n{prose}\u2026\t": ((2 * 38 + 1, 0, 2, 4), {"ellipses"}),
+        f"{prose}...\n{prose}.. .\n{prose}\n{prose}": ((4 * 38, 0, 1, 4), set()),
+        "12 34 und 56": ((3, 0, 0, 1), {"few_letters", "few_stop_words"}),
+        "The THE der \u00e9\u00e9": ((11, 0, 0, 1), {"few_stop_words"}),
+    }
+    led = quality.ledger(spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "doc_id long, text string, w string"))
+    got = {r["doc_id"]: r for r in quality.apply_policy(led, quality.POLICIES["v2"]).collect()}
+    for i, (measured, failed) in enumerate(cases.values()):
+        r = got[i]
+        assert (r["n_letters"], r["n_bullet_lines"], r["n_ellipsis_lines"], r["n_stop_words"]) == measured, i
+        assert {x.name for x in quality.RULES[6:] if r["fail_bits"] & quality.BIT[x.name]} == failed, i
+        assert r["kept"] == (r["fail_bits"] == 0)
 
 
 def test_repeated_windows(spark):
