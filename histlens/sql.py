@@ -107,6 +107,12 @@ def _causal() -> list[str]:
     return [*out, f"causal AS MATERIALIZED (SELECT * FROM c{ROUNDS})"]
 
 
+def _steps() -> list[str]:
+    """What each round adds to visibility, in sound histories."""
+    rounds = (f"SELECT DISTINCT h, {k} AS step, src, dst FROM ({_ww(f'm{k}')}) w WHERE NOT EXISTS (SELECT 1 FROM m{k} g WHERE g.h = w.h AND g.src = w.src AND g.dst = w.dst)" for k in range(ROUNDS))
+    return [*_causal(), f"sn AS (SELECT h FROM n WHERE h NOT IN (SELECT h FROM first) AND h NOT IN (SELECT h FROM nrr)), st AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(rounds)}) SEMI JOIN sn USING (h))"]
+
+
 def _verdict(depth: int) -> str:
     """From the first failing stage of: structure, read committed, repeatable read, atomic read or causal."""
     kinds = ["WHEN f.h IS NOT NULL THEN {0}", "WHEN c.h IS NOT NULL THEN {1}", "WHEN q.h IS NOT NULL THEN {2}", "WHEN l.h IS NOT NULL THEN {3}"][: depth + 1]
@@ -257,6 +263,11 @@ SQL: dict[str, str] = {
     "check_ser": _with(_searched("serializable"), *_RC, *_causal(), *_search(halves=False), **SOUND),
     "level_summary": _with(_summary(), *_all_levels(), **SOUND),
     "check_observed": _with(_summary(), *_all_levels()),
+    "causal_steps": _with(
+        """SELECT h, CAST(step AS INTEGER) AS step, 'vis' AS phase, src, dst FROM st
+UNION ALL SELECT h, CAST(coalesce(max(step) + 1, 0) AS INTEGER), 'ww', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM sn LEFT JOIN st USING (h) GROUP BY h""",
+        *_steps(), **SOUND,
+    ),
     "invalid_witnesses": "SELECT CAST(NULL AS BIGINT) AS h, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS VARCHAR) AS level WHERE false",
     "invalid_orders": _with(
         """SELECT DISTINCT v.h, 'visibility' AS why FROM vis v JOIN od a ON a.h = v.h AND a.txn = v.src JOIN od b ON b.h = v.h AND b.txn = v.dst WHERE a.i >= b.i
