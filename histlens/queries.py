@@ -146,6 +146,12 @@ def rw_edges(spark, sf_dir):
     return relations.read_write(hs, relations.write_read(resolved), vis)
 
 
+def _with_reads(hs: Histories) -> tuple[Histories, DataFrame]:
+    """Events read once, and the reads from writes."""
+    hs = Histories(written(hs.events, "events"), hs.txns, hs.hist)
+    return hs, written(relations.write_read(validate.resolve_reads(hs)), "wr")
+
+
 @query
 def rc_order_edges(spark, sf_dir):
     hs = stale(spark, sf_dir)
@@ -177,10 +183,15 @@ def cycle_vertices(spark, sf_dir):
     return graph.cycle_vertices(graph.closure(_atomic_edges(stale(spark, sf_dir))))
 
 
+def _atomic(spark, sf_dir) -> tuple[Histories, DataFrame, DataFrame]:
+    """Visibility with one round of write-write order: has cycles where reads are stale."""
+    hs, wr = _with_reads(stale(spark, sf_dir))
+    return hs, wr, reach.cycles(reach.atomic_rows(hs, wr))
+
+
 @query
 def cycle_edge(spark, sf_dir):
-    edges = _atomic_edges(stale(spark, sf_dir))
-    return graph.cycle_edge(edges, graph.closure(edges))
+    return reach.first_edge(*_atomic(spark, sf_dir))
 
 
 @query
