@@ -172,21 +172,15 @@ def edge_closure(spark, sf_dir):
     return graph.closure(relations.write_read_union(validate.resolve_reads(hs)))
 
 
-def _atomic_edges(hs: Histories) -> DataFrame:
+def _atomic(spark, sf_dir) -> tuple[Histories, DataFrame, DataFrame]:
     """Visibility with one round of write-write order: has cycles where reads are stale."""
-    resolved, vis = _base(hs)
-    return written(vis.union(relations.write_write(hs, relations.write_read(resolved), vis).select("h", "src", "dst")).distinct(), "atomic")
+    hs, wr = _with_reads(stale(spark, sf_dir))
+    return hs, wr, reach.cycles(reach.atomic_rows(hs, wr))
 
 
 @query
 def cycle_vertices(spark, sf_dir):
-    return graph.cycle_vertices(graph.closure(_atomic_edges(stale(spark, sf_dir))))
-
-
-def _atomic(spark, sf_dir) -> tuple[Histories, DataFrame, DataFrame]:
-    """Visibility with one round of write-write order: has cycles where reads are stale."""
-    hs, wr = _with_reads(stale(spark, sf_dir))
-    return hs, wr, reach.cycles(reach.atomic_rows(hs, wr))
+    return _atomic(spark, sf_dir)[2].select("h", "v")
 
 
 @query

@@ -323,3 +323,23 @@ def test_cycle_edge_lists_no_pairs(spark, monkeypatch):
     for module, name in ((graph, "closure"), (relations, "session_order")):
         monkeypatch.setattr(module, name, None)
     assert queries.cycle_edge(spark, "/root/testdata/sf0.001").count() == 0
+
+
+@pytest.mark.parametrize("most", [graph.MOST, 20, 0])
+def test_cycle_vertices_without_pairs(mixed, atomic, most):
+    hs, wr = mixed
+    assert rows(reach.cycles(reach.atomic_rows(hs, wr), most).select("h", "v")) == rows(graph.cycle_vertices(atomic[1]))
+
+
+def test_cycle_vertices_lists_no_pairs(spark, monkeypatch):
+    for module, name in ((graph, "closure"), (relations, "session_order")):
+        monkeypatch.setattr(module, name, None)
+    assert queries.cycle_vertices(spark, "/root/testdata/sf0.001").count() == 0
+
+
+def test_components(spark, monkeypatch):
+    """Two cycles with a vertex between, a vertex of its own, a long cycle, over several calls a task."""
+    monkeypatch.setattr(graph, "CHUNK", 3)
+    pairs = {"a": [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (5, 6)], "b": [(7, 7), (7, 8)], "c": [(i, (i + 1) % 3000) for i in range(3000)], "d": [(1, 2)]}
+    e = spark.createDataFrame([(h, *p) for h, ps in pairs.items() for p in ps], "h string, src long, dst long")
+    assert rows(graph.components(e)) == sorted([("a", 1, 1), ("a", 2, 1), ("a", 4, 4), ("a", 5, 4), ("b", 7, 7), *(("c", i, 0) for i in range(3000))], key=str)
