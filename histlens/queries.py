@@ -132,6 +132,12 @@ def _base(hs: Histories) -> tuple[DataFrame, DataFrame]:
     return resolved, written(relations.visibility_base(hs, resolved), "vis")
 
 
+def _with_reads(hs: Histories) -> tuple[Histories, DataFrame]:
+    """Events read once, and the reads from writes."""
+    hs = Histories(written(hs.events, "events"), hs.txns, hs.hist)
+    return hs, written(relations.write_read(validate.resolve_reads(hs)), "wr")
+
+
 @query
 def ww_edges(spark, sf_dir):
     hs = stale(spark, sf_dir)
@@ -141,15 +147,7 @@ def ww_edges(spark, sf_dir):
 
 @query
 def rw_edges(spark, sf_dir):
-    hs = stale(spark, sf_dir)
-    resolved, vis = _base(hs)
-    return relations.read_write(hs, relations.write_read(resolved), vis)
-
-
-def _with_reads(hs: Histories) -> tuple[Histories, DataFrame]:
-    """Events read once, and the reads from writes."""
-    hs = Histories(written(hs.events, "events"), hs.txns, hs.hist)
-    return hs, written(relations.write_read(validate.resolve_reads(hs)), "wr")
+    return relations.plain_read_write(*_with_reads(stale(spark, sf_dir)))
 
 
 @query

@@ -358,3 +358,11 @@ def test_levels_of_a_long_chain(spark, monkeypatch):
     short = e.where("h <> 'long'")
     for most in (0, 3):
         assert rows(graph.topo_levels(short, v, most)) == sorted(fixed, key=str)
+
+
+def test_plain_read_write_is_the_general_one(spark, mixed, monkeypatch):
+    hs, wr = mixed
+    want = rows(relations.read_write(hs, wr, relations.visibility_base(hs, validate.resolve_reads(hs))))
+    assert len(want) > 200 and rows(relations.plain_read_write(hs, wr)) == want
+    monkeypatch.setattr(relations, "session_order", None)
+    assert queries.rw_edges(spark, "/root/testdata/sf0.001").count() >= 0
