@@ -127,11 +127,6 @@ def wr_union(spark, sf_dir):
     return relations.write_read_union(validate.resolve_reads(observed(spark, sf_dir)))
 
 
-def _base(hs: Histories) -> tuple[DataFrame, DataFrame]:
-    resolved = written(validate.resolve_reads(hs), "resolved")
-    return resolved, written(relations.visibility_base(hs, resolved), "vis")
-
-
 def _with_reads(hs: Histories) -> tuple[Histories, DataFrame]:
     """Events read once, and the reads from writes."""
     hs = Histories(written(hs.events, "events"), hs.txns, hs.hist)
@@ -140,9 +135,7 @@ def _with_reads(hs: Histories) -> tuple[Histories, DataFrame]:
 
 @query
 def ww_edges(spark, sf_dir):
-    hs = stale(spark, sf_dir)
-    resolved, vis = _base(hs)
-    return relations.write_write(hs, relations.write_read(resolved), vis)
+    return relations.plain_write_write(*_with_reads(stale(spark, sf_dir)))
 
 
 @query

@@ -366,3 +366,11 @@ def test_plain_read_write_is_the_general_one(spark, mixed, monkeypatch):
     assert len(want) > 200 and rows(relations.plain_read_write(hs, wr)) == want
     monkeypatch.setattr(relations, "session_order", None)
     assert queries.rw_edges(spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_plain_write_write_is_the_general_one(spark, mixed, monkeypatch):
+    hs, wr = mixed
+    want = rows(relations.write_write(hs, wr, relations.visibility_base(hs, validate.resolve_reads(hs))))
+    assert len(want) > 200 and rows(relations.plain_write_write(hs, wr)) == want
+    monkeypatch.setattr(relations, "session_order", None)
+    assert queries.ww_edges(spark, "/root/testdata/sf0.001").count() >= 0
